@@ -134,10 +134,10 @@ def match_renames(
     carries (an empty body) costs one row per set instead of all its pairs.
     """
 
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be above 0 and at most 1")
+    if not 0 <= threshold <= 1:
+        raise ValueError("threshold must be between 0 and 1")
     sets = []
-    for mask in range(1, 2 ** len(SIGNALS)):
+    for mask in range(2 ** len(SIGNALS)):
         present = [s for i, s in enumerate(SIGNALS) if mask >> i & 1]
         if rename_score(set(present)) >= threshold:
             sets.append(present)
@@ -157,8 +157,11 @@ def match_renames(
                         F.lit(number).alias("set_no"),
                         F.lit(rename_score(set(present))).alias("score"),
                         # The language may be null on both sides; a null matches a null.
-                        F.to_json(
-                            F.struct(F.col("kind"), F.col("language"), *parts)
+                        # Without any signal every node of the other side is a partner.
+                        (
+                            F.to_json(F.struct(F.col("kind"), F.col("language"), *parts))
+                            if present
+                            else F.lit("")
                         ).alias("key"),
                     ),
                 )
@@ -196,7 +199,9 @@ def match_renames(
         *REPO, F.col("id").alias("after_node_id"), F.col("partner").alias("before_node_id"),
         F.col("qualified_name").alias("after_name"), F.col("score").alias("after_score"),
     )
-    signals = F.array(*[F.array(*[F.lit(s) for s in present]) for present in sets])
+    signals = F.array(
+        *[F.array(*[F.lit(s) for s in present]).cast("array<string>") for present in sets]
+    )
     matched = old.join(new, REPO + ["before_node_id", "after_node_id"]).where(
         F.col("score") == F.col("after_score")
     )

@@ -5,12 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from repograph.functions import ids
-from repograph.operators import projection
-from repograph.plans import fixtures, oracle
-from repograph.session import KEYS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +13,8 @@ SQL: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def keep(query: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = query
         if sql is not None:
             SQL[name] = sql
@@ -27,35 +23,7 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Package rollup of the trade graph: the 20 strongest links between packages."""
-
-    nodes = fixtures.trade_nodes(spark, sf_dir)
-    edges = fixtures.trade_edges(spark, sf_dir)
-    rolled = projection.rollup_edges(nodes, edges, "packages")
-    return projection.top_aggregates(rolled, 20).drop("position").orderBy(
-        F.desc("exact_relation_count"), "predicate", "id"
-    )
-
-
-ROLLUP_COLUMNS = "id, source_group_id, predicate, target_group_id, exact_relation_count"
-
-
-@register(
-    "rollup_packages",
-    f"{oracle.graph('before')}, {oracle.rollup_cte('packages')} SELECT {ROLLUP_COLUMNS} FROM rolled",
-)
-def rollup_packages(spark, sf_dir):
-    nodes = fixtures.trade_nodes(spark, sf_dir)
-    edges = fixtures.trade_edges(spark, sf_dir)
-    return projection.rollup_edges(nodes, edges, "packages").drop(*KEYS)
-
+def load() -> None:
+    """Import the modules that register queries."""
 
-@register(
-    "rollup_files",
-    f"{oracle.graph('before')}, {oracle.rollup_cte('files')} SELECT {ROLLUP_COLUMNS} FROM rolled",
-)
-def rollup_files(spark, sf_dir):
-    nodes = fixtures.trade_nodes(spark, sf_dir)
-    edges = fixtures.trade_edges(spark, sf_dir)
-    return projection.rollup_edges(nodes, edges, "files").drop(*KEYS)
+    from repograph.plans import catalog_graph  # noqa: F401

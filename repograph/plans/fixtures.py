@@ -262,3 +262,39 @@ def trade_edges(spark: SparkSession, sf_dir: str, revision: str = "before") -> D
         F.lit("1").alias("extractor_version"),
         F.lit(None).cast("string").alias("attributes_json"), "evidence",
     )
+
+
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between users and items, one per event; each day is a repository of its own."""
+
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    predicate = (
+        F.when(F.col("event_type") == "purchase", "CALLS")
+        .when(F.col("event_type") == "signup", "INSTANTIATES")
+        .when(F.col("event_type") == "click", "IMPORTS")
+        .when(F.col("event_type") == "view", "REFERENCES")
+        .otherwise("THROWS")
+    )
+    rows = events.select(
+        F.concat(F.lit("day-"), F.date_format("ts", "yyyy-MM-dd")).alias("repository_id"),
+        F.lit("all").alias("revision_id"), "event_id",
+        F.format_string("e%012d", F.col("event_id")).alias("id"),
+        F.col("user_id").cast("string").alias("source_id"),
+        F.get_json_object("props", "$.k").alias("target_id"), predicate.alias("predicate"),
+        F.lit("exact").alias("quality"),
+    )
+    return rows.where(F.col("source_id") != F.col("target_id"))
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the files of one repository per source."""
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return docs.select(
+        F.col("source").alias("repository_id"), F.lit("r1").alias("revision_id"),
+        F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias(
+            "path"
+        ),
+        F.octet_length("text").cast("bigint").alias("size_bytes"),
+        F.encode("text", "UTF-8").alias("content"), F.sha2("text", 256).alias("content_hash"),
+    )
