@@ -7,17 +7,48 @@ cards, benchmark items into questions, and events into transitions and agent eve
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repograph import constants as K
 from repograph.functions import ids, text
+from repograph.session import cut
 
 REPOSITORY = "trade"
 
+_READ: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """One DataFrame per application and key, so schemas and listings are read once."""
+
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _READ:
+        _READ[full] = build()
+    return _READ[full]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return _once(spark, (path,), lambda: spark.read.parquet(path))
+
+
+def trade_nodes(spark: SparkSession, sf_dir: str, revision: str = "before") -> DataFrame:
+    """The stored node table of one revision; built from the trade tables once per session."""
+
+    return _once(
+        spark, (sf_dir, "nodes", revision), lambda: cut(build_nodes(spark, sf_dir, revision))
+    )
+
+
+def trade_edges(spark: SparkSession, sf_dir: str, revision: str = "before") -> DataFrame:
+    """The stored edge table of one revision; built from the trade tables once per session."""
+
+    return _once(
+        spark, (sf_dir, "edges", revision), lambda: cut(build_edges(spark, sf_dir, revision))
+    )
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +144,7 @@ def _function_rows(df, revision, path, name, qualified, line, signature, content
     )
 
 
-def trade_nodes(spark: SparkSession, sf_dir: str, revision: str = "before") -> DataFrame:
+def build_nodes(spark: SparkSession, sf_dir: str, revision: str = "before") -> DataFrame:
     none = F.lit(None).cast("string")
     root = spark.range(1).select(
         *_structure_row(revision, "REPOSITORY", F.lit(REPOSITORY), F.lit("."), none, F.lit("."))
@@ -195,7 +226,7 @@ def trade_nodes(spark: SparkSession, sf_dir: str, revision: str = "before") -> D
     )
 
 
-def trade_edges(spark: SparkSession, sf_dir: str, revision: str = "before") -> DataFrame:
+def build_edges(spark: SparkSession, sf_dir: str, revision: str = "before") -> DataFrame:
     """One edge per (order, supplied part, predicate, quality); its lineitems are the evidence.
 
     An order has a handful of lineitems, so the evidence array of an edge is short.
@@ -298,3 +329,113 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("text").cast("bigint").alias("size_bytes"),
         F.encode("text", "UTF-8").alias("content"), F.sha2("text", 256).alias("content_hash"),
     )
+
+
+once = _once
+
+
+def document_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as cards: the source is the revision, toxic documents are the tests."""
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    return docs.join(labels, "doc_id", "left").select(
+        F.lit("docs").alias("repository_id"), F.col("source").alias("revision_id"),
+        name.alias("source_id"), name.alias("node_id"), name.alias("chunk_id"),
+        F.col("doc_id").alias("doc_no"),
+        F.concat(F.lit("repo:docs:"), name).alias("logical_id"),
+        F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"),
+        name.alias("qualified_name"), name.alias("display_name"), F.col("text").alias("content"),
+        F.col("lang").alias("entity_kind"), F.lit("exact").alias("relation_quality"),
+        (F.coalesce("toxic", F.lit(0)) == 1).alias("is_test"),
+        F.lit(False).alias("is_entry_point"), F.lit(None).cast("string").alias("span"),
+        F.sha2("text", 256).alias("content_hash"),
+    )
+
+
+def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    return items.select(
+        F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("question_id"),
+        F.col("text").alias("question"),
+    )
+
+
+def event_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Relation groups and triplets: a day is a question, a user a group, an event a hop."""
+
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "props")
+    item = F.get_json_object("props", "$.k")
+    named = lambda text_: F.struct(
+        text_.alias("identifier"), F.lit(None).cast("string").alias("entity_id")
+    )
+    user = F.concat(
+        F.when(F.col("user_id") % 2 == 0, F.lit("repo:")).otherwise(F.lit("concept:")),
+        F.col("user_id").cast("string"),
+    )
+    day = F.concat(F.lit("day-"), F.date_format("ts", "yyyy-MM-dd"))
+    triplets = events.select(
+        day.alias("question_id"), F.lit("path").alias("list"),
+        F.col("user_id").alias("group_rank"), "event_id", named(user).alias("source"),
+        named(F.concat(F.lit("repo:"), item)).alias("target"),
+        F.struct(item.alias("id"), F.lit("CALLS").alias("predicate"), item.alias("chunk_id")).alias(
+            "relation"
+        ),
+        F.col("event_id").alias("hop"),
+    )
+    groups = triplets.select("question_id", "list", "group_rank").distinct().withColumn(
+        "source_chunk_ids", F.array().cast("array<string>")
+    )
+    return groups, triplets
+
+
+def _as_agent_events(events: DataFrame) -> DataFrame:
+    kinds = {
+        "signup": "traversal_entered", "click": "traversal_followed",
+        "view": "traversal_followed", "error": "traversal_abandoned",
+        "purchase": "evidence_opened",
+    }
+    pairs = [F.lit(x) for pair in kinds.items() for x in pair]
+    return events.select(
+        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event_id"),
+        F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.element_at(F.create_map(*pairs), F.col("event_type")).alias("type"),
+        F.lit("r1").alias("revision_id"),
+        F.concat(F.lit("view-"), F.date_format("ts", "yyyy-MM-dd")).alias("view_id"),
+        F.array(F.get_json_object("props", "$.k")).alias("entity_ids"),
+        F.array().cast("array<string>").alias("relationship_ids"), F.col("props").alias("metadata"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+def agent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as agent events: a user is a session, a day a view."""
+
+    return _as_agent_events(table(spark, sf_dir, "events"))
+
+
+def agent_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    stream = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    )
+    return _as_agent_events(stream)
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One session per user and day; every seventh user's sessions lack their start."""
+
+    events = agent_events(spark, sf_dir).withColumn(
+        "session_id", F.concat("session_id", F.date_format("timestamp", "-dd"))
+    )
+    first = events.groupBy("session_id").agg(F.min(F.struct("timestamp", "seq")).alias("first"))
+    user = F.regexp_extract("session_id", "^s([0-9]+)-", 1).cast("bigint")
+    is_first = F.struct("timestamp", "seq") == F.col("first")
+    kind = (
+        F.when(is_first & (user % 7 != 0), "session_started")
+        .when(~is_first & (F.col("type") == "evidence_opened"), "session_completed")
+        .otherwise("query_started")
+    )
+    return events.join(first, "session_id").withColumn("type", kind).drop("first")

@@ -1,20 +1,14 @@
-"""Row types of the tables."""
+"""Row types of the tables, as DDL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
 
 SPAN = "STRUCT<start_line: INT, start_column: INT, end_line: INT, end_column: INT>"
 EVIDENCE = (
     "STRUCT<id: STRING, path: STRING, start_line: INT, start_column: INT, end_line: INT, "
     "end_column: INT, excerpt_hash: STRING, explanation: STRING>"
 )
-NODES = _struct(
+NODES = (
     "repository_id STRING, revision_id STRING, id STRING, logical_id STRING, kind STRING, "
     "display_name STRING, qualified_name STRING, language STRING, path STRING, "
     f"span {SPAN}, signature STRING, content_hash STRING, parser STRING, "
@@ -22,7 +16,7 @@ NODES = _struct(
     "is_test BOOLEAN, is_entry_point BOOLEAN, entry_reasons ARRAY<STRING>, "
     "attributes_json STRING"
 )
-EDGES = _struct(
+EDGES = (
     "repository_id STRING, revision_id STRING, id STRING, logical_id STRING, "
     "source_id STRING, predicate STRING, target_id STRING, quality STRING, "
     "confidence DOUBLE, owner_source_id STRING, extractor STRING, extractor_version STRING, "
@@ -43,7 +37,7 @@ ENVELOPE = (
     "start_line: INT, start_column: INT, end_line: INT, end_column: INT, "
     "excerpt_hash: STRING, explanation: STRING>"
 )
-GRAPH_JSON = _struct(
+GRAPH_JSON = (
     "graph_ir_version STRING, repository_id STRING, revision_id STRING, "
     "nodes ARRAY<STRUCT<id: STRING, logical_id: STRING, kind: STRING, display_name: STRING, "
     f"qualified_name: STRING, language: STRING, path: STRING, span: {SPAN}, "
