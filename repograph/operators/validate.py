@@ -159,7 +159,12 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def card_violations(cards: DataFrame) -> DataFrame:
+def card_violations(
+    cards: DataFrame,
+    max_entities: int = K.MAX_ENTITIES_PER_CARD,
+    max_relations: int = K.MAX_RELATIONS_PER_CARD,
+    max_degree: int = K.MAX_DEGREE,
+) -> DataFrame:
     """Cards whose own graph breaks a limit, or names an entity it does not hold.
 
     Works on exploded rows with partial counts, so a card of any size is only counted.
@@ -180,12 +185,12 @@ def card_violations(cards: DataFrame) -> DataFrame:
     return reduce(
         DataFrame.unionByName,
         [
-            found(cards.where(F.size("entities") > K.MAX_ENTITIES_PER_CARD), "too_many_entities"),
+            found(cards.where(F.size("entities") > max_entities), "too_many_entities"),
             found(
-                cards.where(F.size("relations") > K.MAX_RELATIONS_PER_CARD), "too_many_relations"
+                cards.where(F.size("relations") > max_relations), "too_many_relations"
             ),
             found(ends.where(~F.col("has_source") | ~F.col("has_target")), "unknown_entity"),
-            found(degrees.where(F.col("degree") > K.MAX_DEGREE), "degree_exceeded"),
+            found(degrees.where(F.col("degree") > max_degree), "degree_exceeded"),
             found(
                 cards.where(F.exists(F.map_values("entities"),
                                      lambda e: ~F.length(e["name"]).between(1, 256))),

@@ -26,4 +26,9 @@ def register(name: str, sql: str | None = None):
 def load() -> None:
     """Import the modules that register queries."""
 
-    from repograph.plans import catalog_answer, catalog_events, catalog_graph  # noqa: F401
+    from repograph.plans import (  # noqa: F401
+        catalog_answer,
+        catalog_events,
+        catalog_evolution,
+        catalog_graph,
+    )

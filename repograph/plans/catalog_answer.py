@@ -134,9 +134,9 @@ def matched_names(spark, sf_dir):
     f"""{LAST}, pooled AS (SELECT question_id, document_id AS name, 1 AS l, rank AS position FROM merged
       UNION ALL SELECT question_id, document_id, 2, row_number() OVER (
         PARTITION BY question_id ORDER BY document_id) FROM merged),
-    first AS (SELECT question_id, name, min(position * 2 + l) AS seen_at FROM pooled GROUP BY 1, 2)
+    earliest AS (SELECT question_id, name, min(position * 2 + l) AS seen_at FROM pooled GROUP BY 1, 2)
     SELECT question_id, name, row_number() OVER (PARTITION BY question_id ORDER BY seen_at) AS position
-    FROM first""",
+    FROM earliest""",
 )
 def interleave_names(spark, sf_dir):
     from pyspark.sql.window import Window

@@ -439,3 +439,117 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("query_started")
     )
     return events.join(first, "session_id").withColumn("type", kind).drop("first")
+
+
+def published_cards(spark: SparkSession, sf_dir: str, revision: str) -> DataFrame:
+    """Document cards of two revisions: some come, some go, some change, some lose their graph."""
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    key = F.col("doc_id")
+    if revision == "before":
+        docs = docs.where(key % 10 != 0)
+        content, linked = F.col("text"), key % 2 == 0
+    else:
+        docs = docs.where(key % 10 != 1)
+        content = F.when(key % 7 == 0, F.concat("text", F.lit(" (new)"))).otherwise(F.col("text"))
+        linked = (key % 2 == 0) & (key % 6 != 0)
+    name = F.concat(F.lit("d"), key.cast("string"))
+    entity = F.struct(
+        name.alias("name"), F.lit("FILE").alias("type"), F.lit("docs").alias("namespace"),
+        name.alias("identifier"),
+    )
+    relation = F.struct(
+        name.alias("source"), F.lit("home").alias("target"), F.lit("IMPORTS").alias("predicate"),
+        F.lit("{}").alias("context"),
+    )
+    none = F.lit(None).cast("string")
+    return docs.select(
+        F.lit("docs").alias("repository_id"), F.lit(revision).alias("revision_id"),
+        ids.source_id(name).alias("source_id"), name.alias("node_id"), none.alias("title"),
+        F.lit("code_entity").alias("source_type"), content.alias("content"),
+        F.lit("FILE").alias("entity_kind"), F.col("lang").alias("language"),
+        F.lit("exact").alias("relation_quality"), F.lit(False).alias("is_generated"),
+        F.lit(False).alias("is_test"), F.lit(False).alias("is_entry_point"),
+        F.concat_ws("/", "source", name).alias("path"), name.alias("qualified_name"),
+        name.alias("display_name"), name.alias("logical_id"), none.alias("signature"),
+        F.lit("p").alias("parser"), F.lit("1").alias("parser_version"),
+        F.sha2(content, 256).alias("content_hash"),
+        F.lit(None).cast("struct<start_line:int,start_column:int,end_line:int,end_column:int>")
+        .alias("span"),
+        F.create_map(name, entity).alias("entities"),
+        F.filter(F.array(relation), lambda _: linked).alias("relations"),
+    )
+
+
+def order_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a card that links itself to its parts; some parts are not declared."""
+
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    order = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
+    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    named = lambda n: F.struct(n.alias("name"))
+    rows = lines.groupBy("l_orderkey").agg(
+        F.collect_list(F.struct(order.alias("source"), part.alias("target"),
+                                F.lit("c").alias("context"))).alias("relations"),
+        F.collect_set(F.when(F.col("l_partkey") % 10 != 0,
+                             F.struct(part.alias("key"), named(part).alias("value")))).alias("parts"),
+    )
+    own = F.array(F.struct(order.alias("key"), named(order).alias("value")))
+    return rows.select(
+        F.lit("trade").alias("repository_id"), F.lit("r1").alias("revision_id"),
+        order.alias("source_id"), F.map_from_entries(F.array_union(own, "parts")).alias("entities"),
+        "relations",
+    )
+
+
+def acknowledgements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(expected, acks, counts) of batches of 25 documents; some are lost, some refused."""
+
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    key = F.col("doc_id")
+    batch = F.floor(key / 25).cast("bigint").alias("batch_id")
+    name = F.concat(F.lit("d"), key.cast("string")).alias("source_id")
+    expected = docs.where(key % 12 != 5).select(batch, name)
+    acks = docs.where(key % 9 != 0).select(
+        batch, name, F.when(key % 8 == 0, "Rejected").otherwise("queued").alias("status"),
+        F.when(key % 16 == 0, "too long").alias("error"),
+    )
+    counts = docs.select(batch).distinct().withColumn(
+        "confirmed_count", F.when(F.col("batch_id") % 3 == 0, F.lit(1)).otherwise(F.lit(None)).cast("bigint")
+    )
+    return expected, acks, counts
+
+
+def nation_lenses(spark: SparkSession, sf_dir: str, revision: str) -> dict[str, DataFrame]:
+    """One saved path per nation: its first 24 exact edges by id and their end nodes.
+
+    The row number bounds each nation to 24 rows before anything is gathered.
+    """
+
+    from pyspark.sql.window import Window
+
+    nodes = trade_nodes(spark, sf_dir, revision).where("kind = 'FUNCTION'").select(
+        F.col("id").alias("source_id"),
+        F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("lens_id"),
+    )
+    order = Window.partitionBy("lens_id").orderBy("id")
+    hops = (
+        trade_edges(spark, sf_dir, revision).where("quality = 'exact'")
+        .select("id", "source_id", "predicate", "target_id").join(nodes, "source_id")
+        .withColumn("hop", F.row_number().over(order)).where(F.col("hop") <= 24)
+        .select("lens_id", "hop", F.col("id").alias("edge_id"),
+                F.when(F.col("predicate") == "IMPORTS", "TESTS").otherwise(F.col("predicate"))
+                .alias("predicate"), "source_id", "target_id")
+    )
+    hops = cut(hops)
+    entities = hops.select(
+        "lens_id",
+        F.inline(F.array(
+            F.struct(F.col("source_id").alias("node_id"), (F.col("hop") == 24).alias("a")),
+            F.struct(F.col("target_id").alias("node_id"), F.lit(False).alias("a")),
+        )),
+    ).groupBy("lens_id", "node_id").agg(F.bool_or("a").alias("is_anchor"))
+    lenses = hops.select("lens_id").distinct().withColumns({
+        "repository_id": F.lit(REPOSITORY), "revision_id": F.lit(revision),
+    })
+    return {"lenses": lenses, "hops": hops, "entities": entities}

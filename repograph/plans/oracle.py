@@ -93,7 +93,8 @@ def edges_cte(revision: str) -> str:
     return f"""lines_{revision} AS MATERIALIZED (
   SELECT {sid('node', source)} AS source_id, {sid('node', target)} AS target_id,
          CASE l_returnflag WHEN 'N' THEN 'CALLS' WHEN 'A' THEN 'INSTANTIATES'
-              ELSE 'IMPORTS' END AS predicate,
+              ELSE 'IMPORTS' END AS predicate, o.path, {line} AS line, l_linenumber,
+         {excerpt} AS excerpt_hash, 'o' || l_orderkey || ' uses p' || l_partkey || '.' AS explanation,
          CASE WHEN {exact} THEN 'exact' ELSE 'inferred' END AS quality, l_discount,
          {sid('evidence', place)} AS evidence_id
   FROM lineitem JOIN orders_{revision} o ON l_orderkey = o_orderkey
@@ -103,7 +104,9 @@ edges_{revision} AS MATERIALIZED (
     SELECT source_id, predicate, target_id, quality,
            CASE WHEN quality = 'inferred' THEN min(l_discount) END AS confidence,
            string_agg(DISTINCT evidence_id, ',' ORDER BY evidence_id) AS evidence_ids,
-           count(DISTINCT evidence_id) AS evidence_count
+           count(DISTINCT evidence_id) AS evidence_count,
+           arg_min({{'path': path, 'line': line, 'n': l_linenumber, 'hash': excerpt_hash,
+             'id': evidence_id, 'said': explanation}}, evidence_id) AS first_evidence
     FROM lines_{revision} GROUP BY source_id, predicate, target_id, quality))"""
 
 

@@ -59,8 +59,9 @@ def compare(spark, con, name, query, sql, sf_dir):
     if columns != other_columns:
         return False, f"{name}: columns differ {columns} / {other_columns}"
     if left != right:
-        only_left = [r for r in left if r not in set(right)][:3]
-        only_right = [r for r in right if r not in set(left)][:3]
+        ours, theirs = set(left), set(right)
+        only_left = [r for r in left if r not in theirs][:3]
+        only_right = [r for r in right if r not in ours][:3]
         return False, (
             f"{name}: {len(left)} / {len(right)} rows differ {columns}\n   spark {only_left}\n"
             f"   sql   {only_right}"
