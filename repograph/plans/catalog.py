@@ -28,7 +28,9 @@ def load() -> None:
 
     from repograph.plans import (  # noqa: F401
         catalog_answer,
+        catalog_code,
         catalog_events,
         catalog_evolution,
         catalog_graph,
+        catalog_runs,
     )

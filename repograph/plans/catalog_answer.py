@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from repograph.operators import answer, paths, retrieval
 from repograph.plans import fixtures
 from repograph.plans.catalog import register
-from repograph.session import cut
 
 TOKENS = """regexp_extract_all({text}, '[A-Za-z_][A-Za-z0-9_]*')"""
 
@@ -83,23 +82,12 @@ LAST = f"""WITH {CARDS}, {tfidf_cte('NOT is_test', '_code', 'cards')},
     "FROM merged",
 )
 def retrieve_tests_last(spark, sf_dir):
-    return _retrieved(spark, sf_dir).select(
+    return fixtures.retrieved(spark, sf_dir).select(
         "question_id", F.col("rank").cast("bigint").alias("rank"), "source_id",
         F.round("score", 6).alias("score"),
     )
 
 
-def _retrieved(spark, sf_dir):
-    """The test-last answer window of every question; stored, as several queries use it."""
-
-    def build():
-        cards = fixtures.document_cards(spark, sf_dir)
-        questions = fixtures.benchmark_questions(spark, sf_dir)
-        return cut(retrieval.retrieve(cards, questions, 8, "last"))
-
-    return fixtures.once(spark, (sf_dir, "retrieved"), build)
-
-
 @register(
     "answer_budget",
     f"""{LAST}, sized AS (SELECT question_id, rank, length(text) AS n,
@@ -110,7 +98,7 @@ def _retrieved(spark, sf_dir):
       n > greatest(0, 5000 - used) AS content_truncated FROM sized""",
 )
 def answer_budget(spark, sf_dir):
-    kept = answer.budget_context(_retrieved(spark, sf_dir), 5000)
+    kept = answer.budget_context(fixtures.retrieved(spark, sf_dir), 5000)
     return kept.select(
         "question_id", F.col("rank").cast("bigint").alias("rank"),
         F.length("content").cast("bigint").alias("kept_chars"), "content_truncated",
@@ -124,7 +112,7 @@ def answer_budget(spark, sf_dir):
     FROM merged JOIN cards ON document_id = 'd' || doc_id""",
 )
 def matched_names(spark, sf_dir):
-    names = answer.matched_names(_retrieved(spark, sf_dir))
+    names = answer.matched_names(fixtures.retrieved(spark, sf_dir))
     return names.withColumn("position", F.col("position").cast("bigint"))
 
 
@@ -141,7 +129,7 @@ def matched_names(spark, sf_dir):
 def interleave_names(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    rows = _retrieved(spark, sf_dir)
+    rows = fixtures.retrieved(spark, sf_dir)
     by_rank = rows.select(
         "question_id", F.col("rank").alias("position"), F.col("source_id").alias("name")
     )
@@ -163,7 +151,7 @@ def interleave_names(spark, sf_dir):
 def revision_gate(spark, sf_dir):
     """Documents of several sources in one answer are a conflict of revisions."""
 
-    chunks = _retrieved(spark, sf_dir)
+    chunks = fixtures.retrieved(spark, sf_dir)
     expected = chunks.select("question_id").distinct().withColumn(
         "revision_id", F.lit(None).cast("string")
     )
@@ -176,7 +164,7 @@ def revision_gate(spark, sf_dir):
     FROM merged JOIN cards ON document_id = 'd' || doc_id GROUP BY question_id""",
 )
 def kind_gate(spark, sf_dir):
-    return answer.kind_gate(_retrieved(spark, sf_dir), ["en"])
+    return answer.kind_gate(fixtures.retrieved(spark, sf_dir), ["en"])
 
 
 @register(

@@ -553,3 +553,183 @@ def nation_lenses(spark: SparkSession, sf_dir: str, revision: str) -> dict[str,
         "repository_id": F.lit(REPOSITORY), "revision_id": F.lit(revision),
     })
     return {"lenses": lenses, "hops": hops, "entities": entities}
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python files written from the trade tables.
+
+    Parts of a supplier become functions in modules of at most 100 parts; an order becomes a
+    module that imports its parts and calls them, so every file stays short.
+    """
+
+    place = F.concat_ws(
+        "/", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")),
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", place.alias("place"))
+    supplier = table(spark, sf_dir, "supplier").join(
+        F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        "s_suppkey", F.concat("place", F.lit("/s"), F.col("s_suppkey").cast("string")).alias("home"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber")
+    lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).withColumn(
+        "module", F.concat("home", F.lit("/m"), F.floor(F.col("l_partkey") / 100).cast("string")))
+    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    supplied = lines.select("module", "l_partkey").distinct().groupBy("module").agg(
+        F.array_join(F.transform(
+            F.array_sort(F.collect_list("l_partkey")),
+            lambda p: F.concat(F.lit("def p"), p.cast("string"), F.lit("(x):\n    return x\n"))), "\n\n").alias("text")
+    ).select(F.concat("module", F.lit(".py")).alias("path"), "text")
+    customer = table(spark, sf_dir, "customer").join(
+        F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.concat("place", F.lit("/c"), F.col("c_custkey").cast("string")).alias("home"))
+    orders = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", F.concat("home", F.lit("/o"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"))
+    local = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("_"), part)
+    wanted = F.concat(F.lit("from "), _dotted(F.col("module")), F.lit(" import "), part, F.lit(" as "), local)
+    calls = lines.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_set(wanted)).alias("wanted"),
+        F.array_sort(F.collect_list(F.struct("l_linenumber", local.alias("local")))).alias("called"))
+    body = F.array_join(F.transform("called", lambda c: F.concat(F.lit("    "), c["local"], F.lit("(customer)\n"))), "")
+    bought = orders.join(calls, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        "path", F.concat(F.array_join("wanted", "\n"), F.lit("\n\n\ndef o"), F.col("o_orderkey").cast("string"),
+                         F.lit("(customer):\n"), body).alias("text"))
+    files = supplied.unionByName(bought).select(
+        F.lit("code").alias("repository_id"), F.lit("r1").alias("revision_id"), "path",
+        F.octet_length("text").cast("bigint").alias("size_bytes"), F.encode("text", "UTF-8").alias("content"),
+        F.sha2("text", 256).alias("content_hash"))
+    return files
+
+
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files under names that the file rules treat differently."""
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    number, name = F.col("doc_id").cast("string"), F.col("doc_id") % 20
+    path = (
+        F.when(name == 0, F.concat("source", F.lit("/key"), number, F.lit(".PEM")))
+        .when(name == 1, F.concat("source", F.lit("/node_modules/x"), number, F.lit(".js")))
+        .when(name == 2, F.concat("source", F.lit("/run"), number, F.lit(".log")))
+        .when(name == 3, F.concat(F.lit("build/"), "source", F.lit("/"), number, F.lit(".py")))
+        .when(name == 4, F.concat("source", F.lit("/tests/t"), number, F.lit(".py")))
+        .when(name == 5, F.concat("source", F.lit("/dist/d"), number, F.lit(".ts")))
+        .otherwise(F.concat("source", F.lit("/"), number, F.lit(".txt"))))
+    return docs.select(
+        F.lit("files").alias("repository_id"), F.lit("r1").alias("revision_id"), path.alias("path"),
+        F.octet_length("text").cast("bigint").alias("size_bytes"), F.encode("text", "UTF-8").alias("content"),
+        F.sha2("text", 256).alias("content_hash"), "doc_id")
+
+
+def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcripts of agent runs; two neighbouring ones are the two sides."""
+
+    talk = table(spark, sf_dir, "conversations")
+    size = F.length("text").cast("string")
+    tool = F.when(F.col("role") == "user", "Read").otherwise("Grep")
+    field = F.when(F.col("role") == "user", "file_path").otherwise("pattern")
+    call = F.concat(
+        F.lit('{"type":"assistant","message":{"content":[{"type":"text"},{"type":"tool_use","name":"'), tool,
+        F.lit('","input":{"'), field, F.lit('":"f'), size, F.lit('"}}]}}'))
+    init = F.concat(F.lit('{"type":"system","subtype":"init","model":"m'),
+                    (F.col("conv_id") % 3).cast("string"), F.lit('","tools":["Read","Grep"]}'))
+    line = F.when(F.col("turn") % 5 == 4, F.lit("noise, no JSON")).when(F.col("role") == "system", init).otherwise(call)
+    turns = talk.select("conv_id", F.col("turn").alias("line_no"), line.alias("line"))
+    ends = talk.groupBy("conv_id").agg(F.sum(F.length("text")).alias("n"), F.max("turn").alias("turns"))
+    result = F.concat(
+        F.lit('{"type":"result","is_error":'), F.when(F.col("conv_id") % 7 == 0, "true").otherwise("false"),
+        F.lit(',"num_turns":'), F.col("turns").cast("string"), F.lit(',"duration_ms":'), F.col("n").cast("string"),
+        F.lit(',"usage":{"input_tokens":'), F.col("n").cast("string"), F.lit(',"output_tokens":'),
+        F.col("turns").cast("string"), F.lit("}}"))
+    lasts = ends.where(F.col("conv_id") % 11 != 0).select(
+        "conv_id", F.lit(1_000_000).cast("bigint").alias("line_no"), result.alias("line"))
+    return turns.unionByName(lasts).select(
+        F.floor(F.col("conv_id") / 2).cast("bigint").alias("run_id"),
+        F.when(F.col("conv_id") % 2 == 0, "base").otherwise("other").alias("side"), "line_no", "line")
+
+
+def scored_events(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """(gold, observed) facts per day: sign-ups and errors are gold, the others observed."""
+
+    events = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("day-"), F.date_format("ts", "dd")).alias("question_id"), "event_id", "event_type",
+        F.col("user_id").cast("string").alias("source_id"), F.get_json_object("props", "$.k").alias("target_id"))
+    quality = F.when(F.col("event_id") % 3 == 0, "exact").when(F.col("event_id") % 3 == 1, "inferred").otherwise("unknown")
+    rows = events.withColumns({
+        "edge_id": F.concat_ws("-", "source_id", "target_id"), "predicate": F.lit("CALLS"), "quality": quality,
+        "evidence_id": F.concat(F.lit("x"), "target_id"), "path": F.concat(F.lit("p"), F.col("event_id") % 2),
+        "start_line": F.lit(None).cast("int"), "start_column": F.lit(None).cast("int"),
+        "end_line": F.lit(None).cast("int"), "end_column": F.lit(None).cast("int"), "excerpt_hash": F.lit("h"),
+    })
+    gold_rows = rows.where(F.col("event_type").isin("signup", "error"))
+    first = gold_rows.groupBy("question_id", "edge_id").agg(F.min("event_id").alias("event_id"))
+    first_proof = gold_rows.groupBy("question_id", "evidence_id").agg(F.min("event_id").alias("event_id"))
+    gold = {
+        "nodes": gold_rows.select("question_id", F.col("source_id").alias("node_id")),
+        "relations": gold_rows.join(first, ["question_id", "edge_id", "event_id"], "left_semi"),
+        "evidence": gold_rows.join(first_proof, ["question_id", "evidence_id", "event_id"], "left_semi"),
+    }
+    condition = F.when(F.col("event_type") == "click", "A").when(F.col("event_type") == "view", "B").otherwise("C")
+    seen = rows.where(~F.col("event_type").isin("signup", "error")).withColumns(
+        {"run_id": F.lit("run-1"), "condition": condition, "evidence_key": F.lit("")})
+    run = ["run_id", "question_id", "condition"]
+    observed = {
+        "runs": seen.groupBy(*run).agg(F.count(F.lit(1)).alias("context_chars"),
+                                       F.max("event_id").alias("context_tokens")).withColumn("latency_ms", F.lit(1.5)),
+        "nodes": seen.select(*run, F.col("source_id").alias("node_id")), "relations": seen, "evidence": seen,
+    }
+    return gold, observed
+
+
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as evaluation records of a question and condition."""
+
+    talk = table(spark, sf_dir, "conversations")
+    turn = F.col("turn") % 3
+    return talk.select(
+        F.lit("run-1").alias("run_id"), F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("question_id"),
+        F.when(turn == 0, "A").when(turn == 1, "B").otherwise("C").alias("condition"), F.lit("live").alias("mode"),
+        F.when(F.length("text") % 5 == 0, "error").otherwise("ready").alias("status"), F.lit("g").alias("gold_digest"),
+        F.when(F.col("role") == "system", "old").otherwise("c").alias("corpus_digest"), F.lit("t").alias("target"),
+        (F.col("conv_id") % 4).cast("string").alias("plan"), (turn == 2).alias("graph_context"))
+
+
+def linked_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document cards of one revision that call the next document, with evidence envelopes."""
+
+    from repograph.functions import envelope
+
+    cards = document_cards(spark, sf_dir).withColumn("revision_id", F.lit("r1"))
+    after = F.concat(F.lit("d"), (F.col("doc_no") + 1).cast("string"))
+    before = F.concat(F.lit("d"), (F.col("doc_no") - 1).cast("string"))
+    entity = lambda n: F.struct(n.alias("key"), F.struct(
+        n.alias("name"), F.lit("FILE").alias("type"), F.lit("docs").alias("namespace"),
+        F.concat(F.lit("repo:docs:"), n).alias("identifier")).alias("value"))
+    none = F.lit(None).cast("int")
+    proof = F.struct(
+        F.concat(F.lit("x"), "source_id").alias("id"), F.col("path").alias("path"), none.alias("start_line"),
+        none.alias("start_column"), none.alias("end_line"), none.alias("end_column"),
+        F.col("content_hash").alias("excerpt_hash"), F.lit("next").alias("explanation"))
+    own = F.col("source_id")
+    # A document calls the next one, and imports the one before it.
+    relation = lambda target, predicate: F.struct(
+        own.alias("source"), target.alias("target"), F.lit(predicate).alias("predicate"),
+        envelope.evidence_envelope(
+            F.concat_ws(" ", own, F.lit(predicate.lower()), target), F.concat_ws(">", own, target),
+            F.lit("exact"), F.lit("p"), F.lit("1"), F.col("proof")).alias("context"))
+    return cards.withColumn("proof", proof).withColumns({
+        "entities": F.map_from_entries(F.array(entity(own), entity(after), entity(before))),
+        "relations": F.array(relation(after, "CALLS"), relation(before, "IMPORTS")),
+        "entity_kind": F.lit("FILE"), "parser": F.lit("p"), "parser_version": F.lit("1"),
+        "language": F.lit("text"), "signature": F.lit(None).cast("string"), "is_generated": F.lit(False),
+        "span": F.lit(None).cast("struct<start_line:int,start_column:int,end_line:int,end_column:int>"),
+    }).drop("proof")
+
+
+def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test-last answer window of every question; stored, as several queries use it."""
+
+    from repograph.operators import retrieval
+
+    def build():
+        cards, questions = document_cards(spark, sf_dir), benchmark_questions(spark, sf_dir)
+        return cut(retrieval.retrieve(cards, questions, 8, "last"))
+
+    return _once(spark, (sf_dir, "retrieved"), build)
