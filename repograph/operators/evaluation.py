@@ -247,10 +247,10 @@ def observations(
     distinct = said.groupBy("question_id", "name").agg(
         F.min_by("said", "seen").alias("said"), F.min("said").alias("low"), F.max("said").alias("high"))
     size = distinct.groupBy("question_id").agg(
-        F.bool_or(F.col("low") != F.col("high")).alias("conflict"),
+        F.bool_or(F.col("low") != F.col("high")).alias("two_texts"),
         (F.sum(F.length("said")) + F.count(F.lit(1)) - 1).alias("chars"),
         F.sum(text.token_count(F.col("said"))).alias("words"))
-    conflict = F.coalesce("conflict", F.lit(False))
+    conflict = F.coalesce("two_texts", F.lit(False))
     runs = status.join(size, "question_id", "left").select(
         *run, F.lit(mode).alias("mode"), F.when(conflict, "error").otherwise(F.col("status")).alias("status"),
         F.when(conflict, 0).otherwise(F.coalesce("chars", F.lit(0))).cast("bigint").alias("context_chars"),

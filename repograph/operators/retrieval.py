@@ -38,7 +38,7 @@ def _runs(words: Column) -> Column:
 def token_counts(df: DataFrame, keys: list[str], content: str) -> DataFrame:
     """(keys, total, token, amount) of every row, counted inside the row without a shuffle."""
 
-    words = df.select(*keys, F.array_sort(text.tokens(F.col(content))).alias("words"))
+    words = df.select(*keys, F.sort_array(text.token_bag(F.col(content))).alias("words"))
     return words.select(
         *keys, F.size("words").alias("total"), F.inline(_runs(F.col("words"))).alias("token", "amount")
     )
@@ -58,12 +58,13 @@ def inverse_frequencies(counts: DataFrame, docs: DataFrame, keys: list[str]) ->
 def tfidf_scores(docs: DataFrame, questions: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, question_id, document_id, score) of every pair with a positive cosine.
 
-    Query weights and frequencies are written out first: while they are small the planner
-    broadcasts them and the long token table is never shuffled; beyond that they are joined.
+    The token counts are written once, as three passes read them, and so are the frequencies
+    and query weights: while those are small the planner broadcasts them and the long token
+    table is never shuffled; beyond that they are joined.
     """
 
     keys = keys or []
-    counts = token_counts(docs, keys + ["document_id"], "content")
+    counts = cut(token_counts(docs, keys + ["document_id"], "content"))
     idf = cut(inverse_frequencies(counts, docs, keys))
     asked = (
         token_counts(questions, keys + ["question_id"], "question")

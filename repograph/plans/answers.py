@@ -34,7 +34,8 @@ def ask(
     found = answer.answer(
         chunks, cut(groups), cut(triplets), expected, max_context_chars, max_paths, max_relations,
         max_hops_per_path)
-    return {**found, "read": read}
+    stored = {name: cut(table) for name, table in found.items() if name != "funnel"}
+    return {**stored, "funnel": found["funnel"], "read": read}
 
 
 def trace(cards: DataFrame, questions: DataFrame, max_hops: int = 8, max_paths: int = 3, **filters):

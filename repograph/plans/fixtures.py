@@ -714,7 +714,12 @@ def linked_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         envelope.evidence_envelope(
             F.concat_ws(" ", own, F.lit(predicate.lower()), target), F.concat_ws(">", own, target),
             F.lit("exact"), F.lit("p"), F.lit("1"), F.col("proof")).alias("context"))
+    said = F.concat(
+        F.lit("Entity: "), own, F.lit("\n\nCode:\n"), "content",
+        F.lit("\n\nKnown exact relations:\n- outgoing CALLS: "), after,
+        F.lit("\n- outgoing IMPORTS: "), before)
     return cards.withColumn("proof", proof).withColumns({
+        "content": said,
         "entities": F.map_from_entries(F.array(entity(own), entity(after), entity(before))),
         "relations": F.array(relation(after, "CALLS"), relation(before, "IMPORTS")),
         "entity_kind": F.lit("FILE"), "parser": F.lit("p"), "parser_version": F.lit("1"),
