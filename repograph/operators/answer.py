@@ -17,6 +17,7 @@ from repograph import constants as K
 from repograph.functions import envelope, text
 from repograph.operators import paths
 from repograph.operators.retrieval import dedupe_ranked
+from repograph.session import cut
 
 GROUP = ["question_id", "list", "group_rank"]
 
@@ -426,7 +427,6 @@ def complete_window(
     """
 
     from repograph.operators import retrieval
-    from repograph.session import cut
 
     pool = cards if tests == "only" else cards.where(~F.col("is_test"))
     chunks = cut(chunks)
@@ -510,13 +510,16 @@ def answer(
     if owned_sources is not None:
         triplets = restore_origin(triplets, chunks, owned_sources)
 
-    kept = grounded_groups(groups, triplets, chunks)
-    kept_triplets = resolve_entities(triplets.join(kept, GROUP, "left_semi"), chunks)
+    # Each step is read several times below and holds one bounded answer per question.
+    chunks = cut(chunks)
+    kept = cut(grounded_groups(groups, triplets, chunks))
+    kept_triplets = cut(resolve_entities(triplets.join(kept, GROUP, "left_semi"), chunks))
     flows, flow_triplets = paths.assemble_flows(
         chunks, kept_triplets, max_paths=max(1, max_paths),
         max_hops=max_hops_per_path or max(1, max_relations),
     )
-    left_paths = drop_covered(kept, kept_triplets, flow_triplets)
+    flows = cut(flows)
+    left_paths = cut(drop_covered(kept, kept_triplets, flow_triplets))
 
     # Assembled flows stand in front of the returned paths.
     number = F.coalesce(F.col("flows"), F.lit(0))
@@ -542,10 +545,12 @@ def answer(
             F.lit(None).cast("string").alias("target_role"),
         )
     )
+    all_triplets = cut(all_triplets)
     path_hops = budget_hops(
         all_triplets.where(F.col("list") == "path"), max_paths, max_relations, max_hops_per_path,
         all_groups.where(F.col("list") == "path"),
     )
+    path_hops = cut(path_hops)
     used = path_hops.groupBy("question_id").agg(F.count(F.lit(1)).alias("used"))
     relation_rows = all_triplets.where(F.col("list") == "relation").join(used, "question_id", "left")
     relation_hops = budget_hops(
@@ -553,7 +558,7 @@ def answer(
         F.greatest(F.lit(0), F.lit(max_relations) - F.coalesce("used", F.lit(0))),
         max_hops_per_path,
     ).drop("used")
-    hops = path_hops.unionByName(relation_hops)
+    hops = cut(path_hops.unionByName(relation_hops))
     out_groups = all_groups.join(hops, GROUP, "left_semi")
     return {
         "status": status,

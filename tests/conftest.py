@@ -5,4 +5,7 @@ from repograph.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4)
+    # Test tables are tiny, so compiling code would take longer than running the plans.
+    return local_session(
+        4, spark__sql__codegen__wholeStage="false", spark__sql__codegen__factoryMode="NO_CODEGEN",
+        spark__sql__shuffle__partitions="2")
