@@ -17,6 +17,7 @@ def test_ignore_rules(spark, tmp_path):
     tree = {
         ".gitignore": "*.log\n!keep.log\n/out/\nbuild/\n# c\ndocs/**/x.md\n", "a.log": "1", "keep.log": "1", "out/a.py": "1",
         "src/out/a.py": "1", "src/build/b.py": "1", "docs/a/b/x.md": "1", "docs/x.md": "1", "node_modules/m/i.js": "1",
+        "pkg/__init__.py": "",
         ".env.local": "1", "key.PEM": "1", "bin.dat": "a\x00b", "big.txt": "x" * 200, "ok/tests/a.ts": "1",
         "leak.txt": "AKIA" + "A" * 16, "dist/g.generated.py": "x = 1"}
     for path, body in tree.items():
@@ -32,11 +33,12 @@ def test_ignore_rules(spark, tmp_path):
     assert got["out/a.py"] == ("ignore-rule", "out") and got["src/out/a.py"][0] is None
     assert got["src/build/b.py"] == ("ignore-rule", "src/build")
     assert got["docs/a/b/x.md"][0] == got["docs/x.md"][0] == "ignore-rule"
-    assert got["node_modules/m/i.js"] == ("default-ignore", "node_modules")
+    assert got["node_modules"] == ("default-ignore", "node_modules")
     reasons = {p: r for p, (r, _) in got.items()}
     assert [reasons[p] for p in (".gitignore", ".env.local", "key.PEM", "bin.dat", "big.txt", "leak.txt")] == [
         "control-file", "secret-name", "secret-name", "binary", "oversized", "secret-content"]
-    assert "soft.txt" not in reasons or reasons["soft.txt"] == "symlink"
+    assert reasons["soft.txt"] == reasons["link"] == "symlink" and "link/tests/a.ts" not in reasons
+    assert reasons["pkg/__init__.py"] is None
     kept = {r.path: r for r in sources.tag_files(sources.kept_files(judged)).collect()}
     assert kept["ok/tests/a.ts"].language == "typescript" and kept["ok/tests/a.ts"].is_test
     assert kept["dist/g.generated.py"].is_generated and not kept["keep.log"].is_generated
