@@ -65,6 +65,11 @@ def _facts_sql() -> str:
             kind=f"'{kind}'", where_path="n.path", json=_json(kind=f"'{kind}'", **args),
             source=f"changed_edges c JOIN {side} n ON n.id = least(source_id, target_id) "
                    f"WHERE change = '{change}'"))
+    parts.append(one.format(
+        kind="'evidence_moved'", where_path="n.path",
+        json=_json(bn=PAIR, an=PAIR, br=_q("c.id"), ar=_q("c.id"), kind="'evidence_moved'"),
+        source="changed_edges c JOIN nodes_before n ON n.id = least(source_id, target_id) "
+               "WHERE change = 'evidence_moved'"))
     parts.append(one.format(
         kind="'relation_quality_changed'", where_path="n.path",
         json=_json(bn=PAIR, an=PAIR, br=_q("before_edge_id"), ar=_q("after_edge_id"),
@@ -158,7 +163,7 @@ def stored_event_checks(spark, sf_dir):
     f"""{FACTS}, ends AS (SELECT *, CASE WHEN kind = 'rename_hypothesis' THEN 'RENAMED_TO'
         WHEN kind = 'node_added' THEN 'ADDED_IN' WHEN kind = 'node_removed' THEN 'REMOVED_IN'
         ELSE 'CHANGED_IN' END AS predicate FROM facts)
-    SELECT predicate, sum(CASE WHEN kind LIKE 'relation%' THEN 2 ELSE 1 END)::BIGINT AS amount
+    SELECT predicate, sum(CASE WHEN kind LIKE 'relation%' OR kind = 'evidence_moved' THEN 2 ELSE 1 END)::BIGINT AS amount
     FROM ends GROUP BY predicate""",
 )
 def change_fact_graph(spark, sf_dir):

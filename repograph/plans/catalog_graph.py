@@ -212,8 +212,6 @@ def diff_edges(spark, sf_dir):
     return diff.edge_changes(before, after).select("id", "change")
 
 
-# Parts of one order may be exact in one line and inferred in another; flipped qualities then
-# move evidence between two edges that both stay.
 @register(
     "evidence_moves",
     f"""{BOTH} SELECT b.id, b.evidence_ids AS before_ids, a.evidence_ids AS after_ids

@@ -255,6 +255,9 @@ def build_edges(spark: SparkSession, sf_dir: str, revision: str = "before") -> D
         F.concat_ws(".", _dotted(F.col("part_path")), part_name), F.col("part_path")
     )
     line = _line(F.col("l_orderkey"))
+    if revision == "after":
+        # The calls of some orders stand one line lower in the second revision.
+        line = line + F.when(F.col("l_orderkey") % 29 == 0, 1).otherwise(0)
     excerpt_hash = F.sha2(
         F.concat_ws(":", *[F.col(c).cast("string") for c in
                            ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]), 256

@@ -88,6 +88,8 @@ def edges_cte(revision: str) -> str:
         "sha256(l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey)"
     )
     line = "(1 + l_orderkey % 1000000000)"
+    if revision == "after":
+        line = "(1 + l_orderkey % 1000000000 + CASE WHEN l_orderkey % 29 = 0 THEN 1 ELSE 0 END)"
     place = f"o.path || ':' || {line} || ':' || l_linenumber || ':' || {line} || ':80:' || {excerpt}"
     edge = "'repo:trade:' || source_id || ':' || predicate || ':' || target_id || ':' || quality"
     return f"""lines_{revision} AS MATERIALIZED (
