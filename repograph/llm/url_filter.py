@@ -31,7 +31,7 @@ LEVELS = 64
 
 @dataclass
 class Cascade:
-    """Levels of (bits, hashes, words); ``words`` is a table with one row per 64 bits."""
+    """Levels of (bits, hashes, words); ``words`` is a table of one row, an array of 64-bit words."""
 
     levels: list[tuple[int, int, DataFrame]] = field(default_factory=list)
 
@@ -77,20 +77,20 @@ def _bit(position: Column) -> Column:
 
 def _words(keys: DataFrame, level: int, bits: int, hashes: int) -> DataFrame:
     positions = F.array(*[_position(F.col("key"), level, i, bits) for i in range(hashes)])
-    return store(
+    set_words = (
         keys.select(F.explode(positions).alias("position"))
         .groupBy((F.col("position") / 64).cast("long").alias("word"))
-        .agg(F.bit_or(_bit(F.col("position"))).alias("bits")))
+        .agg(F.bit_or(_bit(F.col("position"))).alias("bits"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words")))
+    return store(set_words.select(F.transform(
+        F.sequence(F.lit(0), F.lit(bits // 64 - 1)),
+        lambda i: F.coalesce(F.element_at("words", i.cast("long")), F.lit(0).cast("long"))).alias("words")))
 
 
 def _passes(level: tuple[int, int, DataFrame], number: int, key: Column) -> Column:
     bits, hashes, words = level
-    dense = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
     # One value per query: Spark evaluates the scalar subquery once and sends it to the tasks.
-    filled = dense.select(F.transform(
-        F.sequence(F.lit(0), F.lit(bits // 64 - 1)),
-        lambda i: F.coalesce(F.element_at("words", i.cast("long")), F.lit(0).cast("long"))).alias("w"))
-    array = filled.scalar()
+    array = words.scalar()
     tests = [
         F.get(array, (p / 64).cast("int")).bitwiseAND(_bit(p)) != 0
         for p in (_position(key, number, i, bits) for i in range(hashes))
