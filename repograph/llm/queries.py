@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repograph.llm import repeats, sharding, url_filter
+from repograph.llm import near_dup, repeats, sharding, url_filter
 from repograph.llm.tables import table
 
 URL_RULES = [
@@ -23,6 +23,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 2)
+
+
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("record.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -71,6 +75,7 @@ SELECT doc_id, shard, depth, n_bytes, n_bytes > {SHARD_BYTES} AS oversized FROM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op7_near_dup": op7_near_dup,
     "op8_repeats": op8_repeats,
     "op10_sharding": op10_sharding,
 }
