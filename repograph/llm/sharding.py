@@ -39,9 +39,9 @@ def _row_bits() -> Column:
 
 
 def directory(sized: DataFrame, limit: int) -> DataFrame:
-    """Directory of rows with ``bits`` and ``size``: (length, cell, shard, depth).
+    """Directory of rows with ``bits`` and ``size``: (length, cell, depth).
 
-    A cell is a prefix of ``length`` bits; its shard is the shortest prefix that fits the limit.
+    A cell is a prefix of ``length`` bits; its shard is the shortest prefix, of ``depth`` bits, that fits.
     Cells whose every prefix is too large are looked at again with more bits.
     """
 
@@ -65,8 +65,7 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
         placed = store(
             prefixes.select("cell", "depth", shard).join(fitting, ["depth", "shard"])
             .groupBy("cell").agg(F.min("depth").cast("int").alias("depth"))
-            .select(F.lit(length).alias("length"), "cell", F.expr("substring(cell, 1, depth)").alias("shard"),
-                    "depth"))
+            .select(F.lit(length).alias("length"), "cell", "depth"))
         found = placed if found is None else found.unionByName(placed)
         too_large = cells.join(placed, "cell", "left_anti").select("cell")
         if not too_large.head(1):
@@ -90,7 +89,7 @@ def assign_shards(rows: DataFrame, key: Column, size: Column, limit: int, keep:
     probe = sized.withColumn("probe", F.explode(F.array(*[F.substring("bits", 1, n) for n in lengths])))
     return probe.join(cells, F.col("probe") == F.col("cell")).select(
         *[F.col(f"kept_{i}").alias(name) for i, name in enumerate(keep)],
-        "shard", "depth", F.col("size").alias("n_bytes"), (F.col("size") > limit).alias("oversized"))
+        F.expr("substring(bits, 1, depth)").alias("shard"), "depth", F.col("size").alias("n_bytes"), (F.col("size") > limit).alias("oversized"))
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
