@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repograph.llm import near_dup, packing, repeats, sharding, url_filter
+from repograph.llm import language, near_dup, packing, quality, repeats, sharding, url_filter
+from repograph.llm.learning import held_out
 from repograph.llm.tables import table
 
 URL_RULES = [
@@ -24,6 +25,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = language.predict(documents.select("doc_id", "text"), language.learn(documents))
+    return found.select(
+        "record.doc_id", held_out(F.col("record.doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.learn(documents, table(spark, sf_dir, "labels"))
+    return quality.score(documents, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -80,9 +95,11 @@ SELECT doc_id, shard, depth, n_bytes, n_bytes > {SHARD_BYTES} AS oversized FROM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_language": op3_language,
     "op6_packing": op6_packing,
     "op7_near_dup": op7_near_dup,
     "op8_repeats": op8_repeats,
+    "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
 SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op10_sharding": OP10_SQL}
