@@ -21,6 +21,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+MARKS = np.zeros(256, bool)
+MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -97,10 +99,12 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and stops of words (no byte of 09-0D or 20), and each row's first word."""
+def word_bounds(
+    data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops of words (no byte of ``between``: 09-0D and 20), and each row's first word."""
 
-    space = _SPACE[data]
+    space = between[data]
     before, after = np.ones(len(data), bool), np.ones(len(data), bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     filled = offsets[1:] > offsets[:-1]
@@ -111,11 +115,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, stops, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, A-Z lower-cased, and each row's first word (with the end)."""
 
     data = lowered(data)
-    starts, stops, first = word_bounds(data, offsets)
+    starts, stops, first = word_bounds(data, offsets, between)
     return range_hashes(prefix_sums(data), starts, stops), first
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repograph.llm import language, near_dup, packing, quality, repeats, sharding, url_filter
+from repograph.llm import decontamination, language, near_dup, packing, quality, repeats, sharding, url_filter
 from repograph.llm.learning import held_out
 from repograph.llm.tables import table
 
@@ -25,6 +25,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = language.predict(documents.select("doc_id", "text"), language.learn(documents))
@@ -95,6 +99,7 @@ SELECT doc_id, shard, depth, n_bytes, n_bytes > {SHARD_BYTES} AS oversized FROM
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
     "op6_packing": op6_packing,
     "op7_near_dup": op7_near_dup,
