@@ -93,23 +93,43 @@ def _count_digits(length: int):
     return count
 
 
-ENTRY = [("gram", np.uint64), ("around", np.uint64), ("doc", np.int64), ("row", np.int64), ("start", np.int32),
-         ("stop", np.int32), ("at", np.int32)]
+ENTRY = [("gram", np.uint64), ("around", np.uint64), ("doc", np.int64), ("row", np.int64), ("at", np.int32),
+         ("before", np.uint16), ("after", np.uint16)]
+WINDOW = [("window", np.uint64), ("doc", np.int64), ("row", np.int64), ("start", np.int32)]
+DEALT = "bucket long, kind string, entries binary"
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+def _unpack(table: pa.Table, kind: str, columns: list[tuple]) -> list[np.ndarray]:
+    """The entries of a kind in a bucket."""
 
-
-def _unpack(blobs: list[bytes], kinds: list) -> list[np.ndarray]:
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    out: list[list[np.ndarray]] = [[] for _ in kinds]
-    for blob in blobs:
+    width = sum(np.dtype(k).itemsize for _, k in columns)
+    out: list[list[np.ndarray]] = [[] for _ in columns]
+    for name, blob in zip(table["kind"].to_pylist(), table["entries"].to_pylist(), strict=True):
+        if name != kind:
+            continue
         rows, at = len(blob) // width, 0
-        for held, kind in zip(out, kinds, strict=True):
-            held.append(np.frombuffer(blob, kind, rows, at))
-            at += rows * np.dtype(kind).itemsize
-    return [np.concatenate(h) if h else np.empty(0, k) for h, k in zip(out, kinds, strict=True)]
+        for held, (_, number) in zip(out, columns, strict=True):
+            held.append(np.frombuffer(blob, number, rows, at))
+            at += rows * np.dtype(number).itemsize
+    return [np.concatenate(h) if h else np.empty(0, k) for h, (_, k) in zip(out, columns, strict=True)]
+
+
+def _deal_out(kind: str, key: np.ndarray, entry: list[np.ndarray], buckets: int) -> Iterator[tuple[int, str, bytes]]:
+    """Entries packed by the bucket of their key."""
+
+    bucket = (key % arrays.U64(buckets)).astype(np.int64)
+    ranked = np.argsort(bucket, kind="stable")
+    entry, bucket = [c[ranked] for c in entry], bucket[ranked]
+    bounds = [*np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        yield int(bucket[a]), kind, b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in entry)
+
+
+def _dealt(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
+    buckets, kinds, blobs = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_pydict({
+        "bucket": pa.array(buckets, pa.int64()), "kind": pa.array(kinds, pa.string()),
+        "entries": pa.array(blobs, pa.binary())})
 
 
 def _smallest(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,71 +159,55 @@ def _deal_anchors(length: int, buckets: int, heavy: np.ndarray):
                 stop = np.minimum(at + length, offsets[text + 1])
                 around = arrays.joined(
                     arrays.range_hashes(sums, start, stop), ((at - start) * 1024 + stop - start).astype(np.uint64))
-                doc, row, base = docs[first + text], rows[first + text], offsets[text]
-                entry = [gram, around, doc, row, (start - base).astype(np.int32), (stop - base).astype(np.int32),
-                         (at - base).astype(np.int32)]
-                light = ~heavy_digits[_digit(gram)]
-                open_heavy = [c[~light] for c in entry]
+                doc, row = docs[first + text], rows[first + text]
+                entry = [gram, around, doc, row, (at - offsets[text]).astype(np.int32),
+                         (at - start).astype(np.uint16), (stop - at).astype(np.uint16)]
                 order, least, _ = _smallest([gram, around], doc)
                 settled = np.zeros(len(at), bool)
                 settled[order] = doc[order] > least
-                settled &= light
-                passed = [c[settled] for c in entry]
-                entry = [c[light & ~settled] for c in entry]
-                bucket = (entry[0] % arrays.U64(buckets)).astype(np.int64)
-                ranked = np.argsort(bucket, kind="stable")
-                entry, bucket = [c[ranked] for c in entry], bucket[ranked]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.empty(0, np.int64)
-                bounds = [*cuts, len(bucket)]
-                names = [int(bucket[c]) for c in cuts]
-                blobs = [_pack([c[a:b] for c in entry]) for a, b in zip(bounds, bounds[1:], strict=False)]
-                kinds = ["entry"] * len(blobs)
-                for kind, found in (("settled", passed), ("heavy", open_heavy)):
-                    if len(found[0]):
-                        names.append(int(found[2][0] % buckets))
-                        blobs.append(_pack(found))
-                        kinds.append(kind)
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(names, pa.int64()), "kind": kinds, "entries": pa.array(blobs, pa.binary())})
+                heavy = heavy_digits[_digit(gram)]
+                rows_out: list[tuple[int, str, bytes]] = []
+                for kind, part, key in (
+                        # Heavy digits are spread by what stands around them.
+                        ("entry", ~heavy & ~settled, gram), ("heavy", heavy & ~settled, around),
+                        ("settled", settled, around)):
+                    rows_out += _deal_out(kind, key[part], [c[part] for c in entry], buckets)
+                yield _dealt(rows_out)
 
     return deal
 
 
-def _span_table(doc, row, start, stop, is_open, heavy) -> pa.Table:
+def _span_table(parts: list[tuple]) -> pa.Table:
+    """Rows from (doc, row, start, stop, open, heavy) parts; the last two are one value each."""
+
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+    columns = [np.concatenate([p[i] for p in parts]) for i in range(4)]
+    columns += [np.repeat([p[i] for p in parts], [len(p[0]) for p in parts]) for i in (4, 5)]
     return pa.table({
-        "doc": pa.array(doc, pa.int64()), "row": pa.array(row, pa.int64()),
-        "start": pa.array(start, pa.int32()), "stop": pa.array(stop, pa.int32()),
-        "open": pa.array(is_open, pa.bool_()), "heavy": pa.array(heavy, pa.bool_())})
+        name: pa.array(c, k) for name, c, k in zip(
+            ("doc", "row", "start", "stop", "open", "heavy"), columns, kinds, strict=True)})
 
 
 def _sort_bucket(table: pa.Table) -> pa.Table:
     """Pass 1 on one bucket: settled spans, and anchors (start only) that go on."""
 
-    kinds = [k for _, k in ENTRY]
-    names = np.array(table["kind"].to_pylist())
-    blobs = table["entries"].to_pylist()
-    take = lambda kind: _unpack([b for b, n in zip(blobs, names, strict=True) if n == kind], kinds)
-    gram, around, doc, row, start, stop, at = take("entry")
-    order, least, group = _smallest([gram, around], doc)
-    gram, doc, row, start, stop, at = (c[order] for c in (gram, doc, row, start, stop, at))
-    settled = doc > least
-    # A group goes on if its digit also stands in another group of another document.
-    fresh = np.flatnonzero(np.diff(gram, prepend=~gram[:1])) if len(gram) else np.empty(0, np.int64)
-    if len(gram):
-        runs = np.diff([*fresh, len(gram)])
-        several = np.repeat(
-            (np.minimum.reduceat(least, fresh) < np.maximum.reduceat(least, fresh)), runs)
-    else:
-        several = np.empty(0, bool)
-    on = several & ~settled
-    _, _, s_doc, s_row, s_start, s_stop, _ = take("settled")
-    _, _, h_doc, h_row, _, _, h_at = take("heavy")
-    return _span_table(
-        np.concatenate([doc[settled], s_doc, doc[on], h_doc]), np.concatenate([row[settled], s_row, row[on], h_row]),
-        np.concatenate([start[settled], s_start, at[on], h_at]),
-        np.concatenate([stop[settled], s_stop, at[on], h_at]),
-        np.repeat([False, True], [settled.sum() + len(s_doc), on.sum() + len(h_doc)]),
-        np.repeat([False, True], [settled.sum() + len(s_doc) + on.sum(), len(h_doc)]))
+    parts = []
+    for kind in ("entry", "heavy"):
+        gram, around, doc, row, at, before, after = _unpack(table, kind, ENTRY)
+        order, least, _ = _smallest([gram, around], doc)
+        gram, doc, row, at, before, after = (c[order] for c in (gram, doc, row, at, before, after))
+        settled = doc > least
+        on = ~settled
+        if kind == "entry" and len(gram):
+            # An anchor goes on if its digit also stands in a group of another document.
+            fresh = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            several = np.minimum.reduceat(least, fresh) < np.maximum.reduceat(least, fresh)
+            on &= np.repeat(several, np.diff([*fresh, len(gram)]))
+        parts.append((doc[settled], row[settled], (at - before)[settled], (at + after)[settled], False, False))
+        parts.append((doc[on], row[on], at[on], at[on], True, kind == "heavy"))
+    _, _, doc, row, at, before, after = _unpack(table, "settled", ENTRY)
+    parts.append((doc, row, at - before, at + after, False, False))
+    return _span_table(parts)
 
 
 AROUND = "bucket long, doc long, row long, at int, low int, high int, bytes binary, heavy boolean"
@@ -277,26 +281,44 @@ def _sort_windows(length: int):
             far[found] = np.maximum(far[found], j)
             near[found] = np.minimum(near[found], j)
         some = np.flatnonzero(far >= 0)
-        none = np.zeros(len(some), bool)
-        return _span_table(
-            doc[some], row[some], (at - far)[some], (at - near + length)[some], none, none)
+        return _span_table([(doc[some], row[some], (at - far)[some], (at - near + length)[some], False, False)])
 
     return sort
 
 
-def _windows(length: int):
-    """Windows of heavy anchors as rows."""
+def _deal_windows(length: int, buckets: int):
+    """Windows around heavy anchors, dealt by their hash."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, row, at, low, high = (_numbers(batch, n) for n in ("doc", "row", "at", "low", "high"))
             held = _held(batch.column("bytes"), 2 * length - DIGIT)
-            for j, value, exists in _window_hashes(held, low, high, length):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[exists]) for c in (value.astype(np.int64), doc, row, (at - j).astype(np.int32))],
-                    names=["window", "doc", "row", "start"])
+            parts = [
+                (value[exists], doc[exists], row[exists], (at - j)[exists].astype(np.int32))
+                for j, value, exists in _window_hashes(held, low, high, length)
+            ]
+            entry = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            order, least, _ = _smallest(entry[:1], entry[1])
+            settled = entry[1][order] > least
+            yield _dealt([
+                r for kind, part in (("settled", order[settled]), ("entry", order[~settled]))
+                for r in _deal_out(kind, entry[0][part], [c[part] for c in entry], buckets)])
 
-    return spread
+    return deal
+
+
+def _sort_heavy(length: int):
+    def sort(table: pa.Table) -> pa.Table:
+        """Pass 2 on one bucket of windows of heavy digits."""
+
+        window, doc, row, start = _unpack(table, "entry", WINDOW)
+        order, least, _ = _smallest([window], doc)
+        found = order[doc[order] > least]
+        _, s_doc, s_row, s_start = _unpack(table, "settled", WINDOW)
+        doc, row, start = (np.concatenate(p) for p in ((doc[found], s_doc), (row[found], s_row), (start[found], s_start)))
+        return _span_table([(doc, row, start, start + length, False, False)])
+
+    return sort
 
 
 def _merge(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -332,20 +354,16 @@ def repeated_spans(documents: DataFrame, length: int = 50, id_column: str = "doc
     first = store(
         long_enough.mapInArrow(
             _deal_anchors(length, buckets, np.array(heavy, np.int64)),
-            "bucket long, kind string, entries binary")
+            DEALT)
         .groupBy("bucket").applyInArrow(_sort_bucket, SPANS))
     opened = first.where("open").groupBy("doc", "row", "heavy").agg(F.collect_list("start").alias("at"))
     around = store(
         opened.join(long_enough.dropDuplicates(["doc", "row"]), ["doc", "row"])
         .select("doc", "row", "at", "text", "heavy").mapInArrow(_surroundings(length, buckets), AROUND))
     second = around.where("NOT heavy").groupBy("bucket").applyInArrow(_sort_windows(length), SPANS)
-    windows = around.where("heavy").mapInArrow(
-        _windows(length), "window long, doc long, row long, start int")
-    least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    hot = windows.join(least, "window").where("doc > least").groupBy("doc", "row", "start").agg(F.lit(1)).select(
-        "doc", "row", "start", (F.col("start") + length).alias("stop"))
-    spans = first.where("NOT open").select("doc", "row", "start", "stop").unionByName(
-        second.select("doc", "row", "start", "stop")).unionByName(hot)
+    third = around.where("heavy").mapInArrow(_deal_windows(length, buckets), DEALT).groupBy(
+        "bucket").applyInArrow(_sort_heavy(length), SPANS)
+    spans = first.where("NOT open").unionByName(second).unionByName(third)
     return store(spans.groupBy("doc", "row").agg(
         F.collect_list(F.struct("start", "stop")).alias("spans")))
 
