@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repograph.llm import decontamination, language, near_dup, packing, quality, repeats, sharding, url_filter
+from repograph.llm import (
+    chat,
+    decontamination,
+    embeddings,
+    language,
+    near_dup,
+    packing,
+    quality,
+    repeats,
+    sharding,
+    url_filter,
+)
 from repograph.llm.learning import held_out
 from repograph.llm.tables import table
 
@@ -36,6 +47,18 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record.doc_id", held_out(F.col("record.doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("</s>[INST] ok [/INST]")
+    turns = F.array(*[F.struct(F.lit(-1), F.lit(i), F.lit(role), said) for i, role in enumerate(("user", "assistant"))])
+    extra = spark.range(1).select(F.inline(turns)).toDF("conv_id", "turn", "role", "text")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_conversations(conversations.unionByName(extra)))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = quality.learn(documents, table(spark, sf_dir, "labels"))
@@ -79,6 +102,25 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
 """ % ", ".join(str(rule) for rule in URL_RULES)
 
+OP5_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(i, role)),
+sized AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+    length(regexp_replace(replace(role, '\', '\\'), '<s>|</s>|\[INST\]|\[/INST\]', '\0.', 'g'))
+    + length(regexp_replace(replace(text, '\', '\\'), '<s>|</s>|\[INST\]|\[/INST\]', '\0.', 'g'))
+    + length('<s>[INST]  [/INST] </s>') + 1 AS chars
+  FROM turns),
+said AS (
+  SELECT conv_id, count(*) AS n_turns, sum(chars)::BIGINT AS formatted_chars,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS learnt
+  FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars
+FROM said
+"""
+
 OP10_SQL = f"""
 WITH hashed AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
@@ -101,10 +143,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
+    "op4_embeddings": op4_embeddings,
+    "op5_chat": op5_chat,
     "op6_packing": op6_packing,
     "op7_near_dup": op7_near_dup,
     "op8_repeats": op8_repeats,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
-SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op10_sharding": OP10_SQL}
+SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_chat": OP5_SQL, "op10_sharding": OP10_SQL}
