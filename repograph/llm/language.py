@@ -73,7 +73,7 @@ def codewords(n: int) -> np.ndarray:
     if n <= 5:
         bits = [[1 if (split >> i) & 1 or i == 0 else -1 for i in range(n)]
                 for split in range(0, 1 << n, 2) if split != (1 << n) - 2]
-        return np.array(bits, np.float64).T.reshape(n, -1)
+        return np.array(bits, np.float64).reshape(-1, n).T if n else np.zeros((0, 0))
     width = 10 * int(np.ceil(np.log2(n)))
     best, far = None, -1
     for seed in range(50):
