@@ -34,9 +34,9 @@ PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, part
 
 def _pieces(path: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from repograph.llm.tokens import TextEncoder
+        from repograph.llm.tokens import text_encoder
 
-        encoder = TextEncoder(path)
+        encoder = text_encoder(path)
         part = TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
         for batch in batches:

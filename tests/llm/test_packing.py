@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from repograph.llm import packing
+from repograph.llm import packing, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -81,3 +81,13 @@ def test_pieces_and_ids(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_both_encoders_give_the_same_ids():
+    tokenizer = Tokenizer.from_file(PATH)
+    fast = tokens.fast_encoding(PATH, tokenizer)
+    assert fast is not None
+    pick = random.Random(1)
+    letters = [*map(chr, range(9, 14)), *map(chr, range(32, 127)), "é", "ß", "ñ", "日", "́", "½", "'s", "'ll", "😀"]
+    texts = ["".join(pick.choices(letters, k=pick.randint(1, 30))) for _ in range(20_000)]
+    assert list(map(fast.encode_ordinary, texts)) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
