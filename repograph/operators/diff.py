@@ -339,17 +339,19 @@ def change_counts(delta: dict[str, DataFrame]) -> DataFrame:
 
 
 def verify_delta(given: dict[str, DataFrame], fresh: dict[str, DataFrame]) -> DataFrame:
-    """Rows by which a stored delta differs from a fresh comparison; none when it holds."""
+    """Rows by which a stored delta differs from a fresh comparison; none when it holds.
+
+    A table that only one of the two has differs by all its rows.
+    """
+
+    def row(df: DataFrame) -> DataFrame:
+        return df.select(*REPO, F.to_json(F.struct(*sorted(df.columns))).alias("row"))
 
     parts = []
-    for name, table in fresh.items():
-        if name in ("nodes", "edges") or name not in given:
-            continue
-        row = lambda df: df.select(
-            *REPO, F.to_json(F.struct(*sorted(c for c in df.columns))).alias("row")
-        )
-        stored = row(given[name])
-        wanted = row(table)
+    for name in sorted({*given, *fresh} - {"nodes", "edges"}):
+        some = row(fresh[name] if name in fresh else given[name])
+        stored = row(given[name]) if name in given else some.limit(0)
+        wanted = row(fresh[name]) if name in fresh else some.limit(0)
         parts.append(
             stored.exceptAll(wanted).select(*REPO, F.lit(name).alias("record"),
                                             F.lit("not in comparison").alias("problem"), "row")

@@ -61,14 +61,14 @@ def stream_item_states(spark, sf_dir):
 @register(
     "timeline",
     f"""{EVENTS} SELECT event_id, type AS state, CASE type
-        WHEN 'traversal_entered' THEN 'Traversal entered'
-        WHEN 'traversal_followed' THEN 'Traversal followed'
-        WHEN 'traversal_abandoned' THEN 'Traversal abandoned'
-        ELSE 'Source evidence opened' END AS label,
-      CASE type WHEN 'traversal_entered' THEN 'The agent entered a new graph point.'
-        WHEN 'traversal_followed' THEN 'The agent followed an edge to a new entity.'
-        WHEN 'traversal_abandoned' THEN 'The agent abandoned the current path.'
-        ELSE 'Line-addressable source evidence was opened.' END || ' 1 entity referenced.' AS detail
+        WHEN 'traversal_entered' THEN 'Walk begun'
+        WHEN 'traversal_followed' THEN 'Edge followed'
+        WHEN 'traversal_abandoned' THEN 'Walk left'
+        ELSE 'Evidence opened' END AS label,
+      CASE type WHEN 'traversal_entered' THEN 'A walk through the graph began here.'
+        WHEN 'traversal_followed' THEN 'The walk went on along an edge.'
+        WHEN 'traversal_abandoned' THEN 'The walk was given up here.'
+        ELSE 'The lines behind a statement were opened.' END || ' 1 entity referenced.' AS detail
     FROM agent ORDER BY ts DESC, seq DESC LIMIT 200""",
 )
 def timeline(spark, sf_dir):
@@ -116,6 +116,16 @@ def sessions(spark, sf_dir):
     return found.select("session_id", "state", "late_events")
 
 
+@register("stream_sessions", f"{LIFE} SELECT session_id, state, late_events FROM lives")
+def stream_sessions(spark, sf_dir):
+    """The same from a stream whose files come in no order."""
+
+    stream = fixtures.session_event_stream(spark, sf_dir)
+    found = streaming.drain(streaming.session_state(stream, "36500 days"), "update")
+    return found.groupBy("session_id").agg(
+        F.max_by("state", "batch").alias("state"), F.max_by("late_events", "batch").alias("late_events"))
+
+
 @register(
     "active_sessions",
     f"""{LIFE}, moves AS (SELECT session_id, started_at AS moved_at, 1 AS delta FROM lives

@@ -444,6 +444,17 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(first, "session_id").withColumn("type", kind).drop("first")
 
 
+def session_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session events as a stream of several files, in no order of time."""
+
+    stored = cut(session_events(spark, sf_dir).repartition(6, F.col("seq")))
+    folder = stored.inputFiles()[0].rpartition("/")[0]
+    return (
+        spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+        .withWatermark("timestamp", "3650 days")
+    )
+
+
 def published_cards(spark: SparkSession, sf_dir: str, revision: str) -> DataFrame:
     """Document cards of two revisions: some come, some go, some change, some lose their graph."""
 
@@ -524,23 +535,22 @@ def acknowledgements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 def nation_lenses(spark: SparkSession, sf_dir: str, revision: str) -> dict[str, DataFrame]:
-    """One saved path per nation: its first 24 exact edges by id and their end nodes.
+    """A saved path for each file: all its exact edges by id and their end nodes.
 
-    The row number bounds each nation to 24 rows before anything is gathered.
+    A file's edges are few; no row is left out.
     """
 
     from pyspark.sql.window import Window
 
     nodes = trade_nodes(spark, sf_dir, revision).where("kind = 'FUNCTION'").select(
-        F.col("id").alias("source_id"),
-        F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("lens_id"),
-    )
+        F.col("id").alias("source_id"), F.col("path").alias("lens_id"))
     order = Window.partitionBy("lens_id").orderBy("id")
     hops = (
         trade_edges(spark, sf_dir, revision).where("quality = 'exact'")
         .select("id", "source_id", "predicate", "target_id").join(nodes, "source_id")
-        .withColumn("hop", F.row_number().over(order)).where(F.col("hop") <= 24)
-        .select("lens_id", "hop", F.col("id").alias("edge_id"),
+        .withColumn("hop", F.row_number().over(order))
+        .withColumn("last", F.count(F.lit(1)).over(Window.partitionBy("lens_id")))
+        .select("lens_id", "hop", "last", F.col("id").alias("edge_id"),
                 F.when(F.col("predicate") == "IMPORTS", "TESTS").otherwise(F.col("predicate"))
                 .alias("predicate"), "source_id", "target_id")
     )
@@ -548,7 +558,7 @@ def nation_lenses(spark: SparkSession, sf_dir: str, revision: str) -> dict[str,
     entities = hops.select(
         "lens_id",
         F.inline(F.array(
-            F.struct(F.col("source_id").alias("node_id"), (F.col("hop") == 24).alias("a")),
+            F.struct(F.col("source_id").alias("node_id"), (F.col("hop") == F.col("last")).alias("a")),
             F.struct(F.col("target_id").alias("node_id"), F.lit(False).alias("a")),
         )),
     ).groupBy("lens_id", "node_id").agg(F.bool_or("a").alias("is_anchor"))

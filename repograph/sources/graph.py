@@ -11,14 +11,15 @@ from repograph.session import KEYS
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, root: str) -> None:
-    """Add revisions to the stored graph: tables partitioned by repository and revision.
+    """Put revisions into the stored graph: tables partitioned by repository and revision.
 
-    The integrity hash is written last, so a revision without one is not complete.
+    A revision that is written again replaces itself.  The integrity hash is written last, so a
+    revision without one, or with one that differs, is not complete.
     """
 
-    for name, table in (("nodes", nodes), ("edges", edges)):
-        table.write.mode("append").partitionBy(*KEYS).parquet(f"{root}/{name}")
-    graph_hash(nodes, edges).write.mode("append").partitionBy(*KEYS).parquet(f"{root}/hashes")
+    for name, table in (("nodes", nodes), ("edges", edges), ("hashes", graph_hash(nodes, edges))):
+        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            *KEYS).parquet(f"{root}/{name}")
 
 
 def read_graph(

@@ -127,7 +127,7 @@ def write_summary(metrics: DataFrame, runs: DataFrame, path: str) -> None:
     """The metric summary as CSV, ordered by question and condition."""
 
     named = metrics.join(runs.select("run_id", "question_id", "condition", "mode", "status"), ["run_id", "question_id", "condition"])
-    rows = named.withColumn("node_hits", F.col("required_node_hits")).withColumn("latency_ms", F.format_number("latency_ms", "0.000"))
+    rows = named.withColumn("node_hits", F.col("required_node_hits")).withColumn("latency_ms", F.format_string("%.3f", F.col("latency_ms").cast("double")))
     rows.select(*SUMMARY).orderBy("question_id", "condition").write.mode("errorifexists").option("header", True).csv(path)
 
 

@@ -87,39 +87,65 @@ def stream_tracks(events: DataFrame) -> DataFrame:
 
 
 SESSION_ROWS = "session_id STRING, revision_id STRING, state STRING, late_events BIGINT"
-SESSION_STATE = "revision_id STRING, started BOOLEAN, completed BOOLEAN, late BIGINT"
-
-
-def _advance(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    revision, started, completed, late = (
-        state.get if state.exists else (None, False, False, 0)
-    )
-    for batch in batches:
-        for kind, of in zip(batch["type"], batch["revision_id"]):
-            if completed:
-                late += 1
-            elif kind == "session_started" and not started:
-                started, revision = True, of
-            elif kind == "session_completed":
-                completed = True
-    state.update((revision, started, completed, late))
-    name = "unknown" if not started else "completed" if completed else "active"
-    yield pd.DataFrame(
-        [(key[0], revision, name, late)],
-        columns=["session_id", "revision_id", "state", "late_events"],
-    )
-
-
-def session_state(events: DataFrame) -> DataFrame:
-    """Lifecycle of each session after every trigger that touched it."""
-
+# Positions are (microseconds, seq); a start also names its revision.
+SESSION_STATE = (
+    "revision_id STRING, start_at BIGINT, start_seq BIGINT, end_at BIGINT, end_seq BIGINT, "
+    "settled_late BIGINT, recent_at ARRAY<BIGINT>, recent_seq ARRAY<BIGINT>"
+)
+FIRST, LAST = -(2**63), 2**63 - 1
+
+
+def _session(idle_ms: int):
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Earliest start, earliest end and the events behind it, whatever order rows come in.
+
+        An end below the watermark is final, so events below it are only counted.
+        """
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        revision, start_at, start_seq, end_at, end_seq, late, times, seqs = (
+            state.get if state.exists else (None, LAST, LAST, LAST, LAST, 0, [], []))
+        start, end = (start_at, start_seq), (end_at, end_seq)
+        recent = list(zip(times, seqs))
+        newest = FIRST
+        for batch in batches:
+            micros = batch["timestamp"].to_numpy("datetime64[us]").astype("int64").tolist()
+            for at, seq, kind, of in zip(micros, batch["seq"].tolist(), batch["type"], batch["revision_id"]):
+                recent.append((at, seq))
+                newest = max(newest, at)
+                if kind == "session_started" and (at, seq) < start:
+                    start, revision = (at, seq), of
+                elif kind == "session_completed":
+                    end = min(end, (at, seq))
+        settled = (state.getCurrentWatermarkMs() * 1000, FIRST)
+        late += sum(end < p < settled for p in recent)
+        recent = [p for p in recent if p >= settled]
+        state.update((
+            revision, *start, *end, late, [p[0] for p in recent], [p[1] for p in recent]))
+        state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + idle_ms)
+        name = "unknown" if start[0] == LAST else "active" if end[0] == LAST else "completed"
+        yield pd.DataFrame(
+            [(key[0], revision, name, late + sum(p > end for p in recent))],
+            columns=["session_id", "revision_id", "state", "late_events"])
+
+    return advance
+
+
+def session_state(events: DataFrame, idle: str = "1 day") -> DataFrame:
+    """Lifecycle of each session after every trigger that touched it, as the batch operator has it.
+
+    ``events`` has a watermark on ``timestamp``.  A session without events for ``idle`` beyond the
+    watermark is forgotten.
+    """
+
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     return (
-        events.select("session_id", "type", "revision_id")
+        events.select("session_id", "type", "revision_id", "timestamp", "seq")
         .groupBy("session_id")
         .applyInPandasWithState(
-            _advance, SESSION_ROWS, SESSION_STATE, "update", GroupStateTimeout.NoTimeout
+            _session(idle_ms), SESSION_ROWS, SESSION_STATE, "update", GroupStateTimeout.EventTimeTimeout
         )
     )
 
