@@ -12,18 +12,23 @@ from pyspark.sql.window import Window
 from repograph import constants as K
 
 RUN = ["run_id", "side"]
+NO_LIMIT = 2**31 - 1
 # The fields that may say what a tool call was pointed at, in order.
 DETAIL_FIELDS = ["file_path", "pattern", "question", "symbol", "query", "command", "path"]
 
 
-def read_lines(lines: DataFrame, max_events: int = K.MAX_RUN_EVENTS, max_line: int = K.MAX_RUN_LINE) -> DataFrame:
+def read_lines(lines: DataFrame, max_events: int | None = None, max_line: int | None = None) -> DataFrame:
     """Parsed events (run_id, side, line_no, event as VARIANT) of each transcript.
 
-    Blank and non-JSON lines are dropped.  A line that is too long ends the run, and so does
-    the event after the last one allowed.
+    Blank and non-JSON lines are dropped.  With limits, a line that is too long ends the run, and so does
+    the event after the last one allowed; :func:`truncated_runs` says which runs that were.
     """
 
     full = lines.where(F.trim("line") != "")
+    if max_line is None and max_events is None:
+        return full.select(*RUN, "line_no", F.try_parse_json("line").alias("event")).where(
+            F.col("event").isNotNull())
+    max_line, max_events = max_line or NO_LIMIT, max_events or NO_LIMIT
     stop = full.groupBy(*RUN).agg(
         F.min(F.when(F.length("line") > max_line, F.col("line_no"))).alias("stop"))
     order = Window.partitionBy(*RUN).orderBy("line_no")
@@ -35,6 +40,14 @@ def read_lines(lines: DataFrame, max_events: int = K.MAX_RUN_EVENTS, max_line: i
         F.col("event").isNotNull())
 
 
+def truncated_runs(lines: DataFrame, max_events: int, max_line: int) -> DataFrame:
+    """(run_id, side) of transcripts that the limits of :func:`read_lines` cut."""
+
+    return lines.where(F.trim("line") != "").groupBy(*RUN).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.length("line")).alias("longest")
+    ).where((F.col("n") > max_events) | (F.col("longest") > max_line)).select(*RUN)
+
+
 def _text(path: str, column: str = "event") -> Column:
     return F.try_variant_get(column, path, "string")
 
@@ -44,13 +57,13 @@ def _count(path: str, column: str = "event") -> Column:
     return F.greatest(F.coalesce(value, F.lit(0)), F.lit(0))
 
 
-def bounded(value: Column, limit: int = K.MAX_TOOL_DETAIL) -> Column:
+def one_line(value: Column, limit: int | None = None) -> Column:
     plain = F.regexp_replace(F.coalesce(value, F.lit("")), r"[\x00-\x1f\x7f]", " ")
-    return F.substring(F.trim(F.regexp_replace(plain, r"\s+", " ")), 1, limit)
+    return F.substring(F.trim(F.regexp_replace(plain, r"\s+", " ")), 1, limit or NO_LIMIT)
 
 
-def tool_calls(events: DataFrame, limit: int = K.MAX_TOOL_CALLS) -> DataFrame:
-    """(run_id, side, call_no, name, detail): the first tool calls of each run."""
+def tool_calls(events: DataFrame, limit: int | None = None, detail_limit: int | None = None) -> DataFrame:
+    """(run_id, side, call_no, name, detail) of all, or the first, tool calls of each run."""
 
     # Only the listed fields of a call are read out, so file contents never travel.
     block = (
@@ -62,17 +75,17 @@ def tool_calls(events: DataFrame, limit: int = K.MAX_TOOL_CALLS) -> DataFrame:
         F.posexplode(F.from_json(F.to_json(F.try_variant_get("event", "$.message.content", "variant")), block))
         .alias("block_no", "b"),
     )
-    detail = F.coalesce(*[F.nullif(bounded(F.col(f"b.input.{f}")), F.lit("")) for f in DETAIL_FIELDS], F.lit(""))
+    detail = F.coalesce(*[F.nullif(one_line(F.col(f"b.input.{f}"), detail_limit), F.lit("")) for f in DETAIL_FIELDS], F.lit(""))
     order = Window.partitionBy(*RUN).orderBy("line_no", "block_no")
     return (
         blocks.where((F.col("b.type") == "tool_use") & (F.coalesce("b.name", F.lit("")) != ""))
         .select(*RUN, "line_no", "block_no", F.col("b.name").alias("name"), detail.alias("detail"))
-        .withColumn("call_no", F.row_number().over(order)).where(F.col("call_no") <= limit)
+        .withColumn("call_no", F.row_number().over(order)).where(F.col("call_no") <= (limit or NO_LIMIT))
         .drop("line_no", "block_no")
     )
 
 
-def run_traces(events: DataFrame) -> DataFrame:
+def run_traces(events: DataFrame, answer_limit: int | None = None) -> DataFrame:
     """One row per run: status, model, tools, turns, usage, cost, duration, answer, error."""
 
     kind = _text("$.type")
@@ -101,7 +114,7 @@ def run_traces(events: DataFrame) -> DataFrame:
         latest(result, used("output_tokens_details.thinking_tokens")).alias("thinking_tokens"),
         latest(result, F.try_variant_get("event", "$.total_cost_usd", "double")).alias("cost_usd"),
         latest(result, duration).alias("duration_ms"),
-        latest(result, F.substring(F.nullif(_text("$.result"), F.lit("")), 1, K.MAX_ANSWER_CHARS)).alias("answer"),
+        latest(result, F.substring(F.nullif(_text("$.result"), F.lit("")), 1, answer_limit or NO_LIMIT)).alias("answer"),
         latest(result & failed, F.coalesce(F.nullif(_text("$.subtype"), F.lit("")),
                                            F.lit("The agent reported an error."))).alias("error"),
     )

@@ -99,13 +99,12 @@ def completeness(records: DataFrame, questions: DataFrame, expected: dict[str, s
           for name, value in expected.items()],
     )
     said = {
-        # Run-wide reasons.
-        "records must contain exactly one run_id": F.col("runs") != 1,
-        "records use mixed run modes": F.col("modes") != 1,
-        "live records require a concrete non-rehearsal run_id": F.col("vague"),
-        "records do not match the current gold digest": F.col("gold_digest"),
-        "records do not match the current validated baseline corpus": F.col("corpus_digest"),
-        "records do not match the configured evaluation target": F.col("target"),
+        "run_id:not_one": F.col("runs") != 1,
+        "mode:not_one": F.col("modes") != 1,
+        "run_id:not_concrete": F.col("vague"),
+        "gold_digest:other": F.col("gold_digest"),
+        "corpus_digest:other": F.col("corpus_digest"),
+        "target:other": F.col("target"),
     }
     run_wide = totals.select(F.explode(F.array_compact(F.array(*[
         F.when(test, F.lit(reason)) for reason, test in said.items()]))).alias("reason"))
@@ -125,13 +124,13 @@ def completeness(records: DataFrame, questions: DataFrame, expected: dict[str, s
     )
     known = by_question.join(wanted, "question_id", "left_semi")
     unready = known.where("not_ready").select(
-        F.concat("question_id", F.lit(":non-ready result")).alias("reason"))
+        F.concat("question_id", F.lit(":not_ready")).alias("reason"))
     paired = (F.col("b_plan") == F.col("c_plan")) & F.col("b_flag") & F.col("c_flag")
     unpaired = known.where(
         F.col("b").isNotNull() & F.col("c").isNotNull() & ~F.coalesce(paired, F.lit(False))
-    ).select(F.concat("question_id", F.lit(":B/C request plans are not paired")).alias("reason"))
+    ).select(F.concat("question_id", F.lit(":plans_not_paired")).alias("reason"))
     extra = by_question.join(wanted, "question_id", "left_anti").select(
-        F.concat(F.lit("unexpected question:"), "question_id").alias("reason"))
+        F.concat(F.lit("unexpected:"), "question_id").alias("reason"))
     return reduce(DataFrame.unionByName, [run_wide, per_slot, unready, unpaired, extra])
 
 

@@ -341,15 +341,16 @@ def is_connected(edges: DataFrame, members: DataFrame, keys: list[str]) -> DataF
 
 
 def lens_selection(hops: DataFrame) -> DataFrame:
-    """The first path of each question whose hops (at most 24) are all exact and chained.
+    """The first path of each question whose hops are all exact and chained.
+
+    Paths of over 24 hops are no candidates; nothing is cut off.
 
     ``hops`` has (question_id, group_rank, hop, source_node, target_node, edge_id or null).
     Returns its hops with ``is_anchor_source`` and ``is_anchor_target`` at the two ends.
     """
 
-    short = hops.where(F.col("hop") <= K.MAX_LENS_HOPS)
     path = Window.partitionBy("question_id", "group_rank").orderBy("hop")
-    linked = short.withColumn("before", F.lag("target_node").over(path)).withColumn(
+    linked = hops.withColumn("before", F.lag("target_node").over(path)).withColumn(
         "fine",
         F.col("edge_id").isNotNull()
         & F.coalesce(F.col("before") == F.col("source_node"), F.lit(True)),
@@ -357,12 +358,12 @@ def lens_selection(hops: DataFrame) -> DataFrame:
     good = (
         linked.groupBy("question_id", "group_rank")
         .agg(F.bool_and("fine").alias("fine"), F.max("hop").alias("last"))
-        .where("fine")
+        .where(F.col("fine") & (F.col("last") <= K.MAX_LENS_HOPS))
         .groupBy("question_id")
         .agg(F.min(F.struct("group_rank", "last")).alias("g"))
         .select("question_id", "g.*")
     )
-    return short.join(good, ["question_id", "group_rank"]).select(
+    return hops.join(good, ["question_id", "group_rank"]).select(
         "question_id", "group_rank", "hop", "source_node", "target_node", "edge_id",
         (F.col("hop") == 1).alias("is_anchor_source"),
         (F.col("hop") == F.col("last")).alias("is_anchor_target"),

@@ -399,7 +399,7 @@ FILES = """WITH files AS (SELECT source AS repository_id, source || '/' || doc_i
     FROM rows GROUP BY repository_id""",
 )
 def content_revision(spark, sf_dir):
-    return digest.content_revision(fixtures.document_files(spark, sf_dir))
+    return digest.content_revision(fixtures.document_files(spark, sf_dir), digest.linear_digest)
 
 
 def _tree_sql() -> str:
@@ -416,9 +416,7 @@ def _tree_sql() -> str:
 
 @register("content_revision_tree", _tree_sql())
 def content_revision_tree(spark, sf_dir):
-    """The form for repositories of any size, here used for all of them."""
-
-    return digest.content_revision(fixtures.document_files(spark, sf_dir), linear_rows=0)
+    return digest.content_revision(fixtures.document_files(spark, sf_dir))
 
 
 # --- checks ---------------------------------------------------------------------------------

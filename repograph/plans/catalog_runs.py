@@ -81,12 +81,12 @@ def metric_audit(spark, sf_dir):
     slots AS (SELECT question_id, unnest(['A', 'B', 'C']) AS condition FROM wanted),
     counts AS (SELECT s.question_id, s.condition, count(r.question_id) AS n FROM slots s
       LEFT JOIN records r USING (question_id, condition) GROUP BY 1, 2)
-    SELECT 'records do not match the current validated baseline corpus' AS reason
+    SELECT 'corpus_digest:other' AS reason
       WHERE EXISTS (SELECT 1 FROM records WHERE role = 'system')
     UNION ALL SELECT question_id || ':' || condition || ' count=' || n FROM counts WHERE n <> 1
-    UNION ALL SELECT DISTINCT question_id || ':non-ready result' FROM records
+    UNION ALL SELECT DISTINCT question_id || ':not_ready' FROM records
       WHERE bad AND question_id IN (SELECT question_id FROM wanted)
-    UNION ALL SELECT DISTINCT 'unexpected question:' || question_id FROM records
+    UNION ALL SELECT DISTINCT 'unexpected:' || question_id FROM records
       WHERE question_id NOT IN (SELECT question_id FROM wanted)""",
 )
 def completeness(spark, sf_dir):

@@ -154,17 +154,17 @@ def test_connectivity(spark):
 def test_linear_and_tree_digests(spark):
     rows = [(k, f"p{i:04d}", hashlib.sha256(f"{k}{i}".encode()).hexdigest()) for k in ("a", "b") for i in range(200)]
     table = spark.createDataFrame(rows, "repository_id string, path string, content_hash string")
-    got = {r.repository_id: r.revision_id for r in digest.content_revision(table).collect()}
+    got = {r.repository_id: r.revision_id for r in digest.content_revision(table, digest.linear_digest).collect()}
     for key in ("a", "b"):
         full = hashlib.sha256()
         for k, path, value in rows:
             if k == key:
                 full.update(len(path).to_bytes(4, "big") + path.encode() + bytes.fromhex(value))
         assert got[key] == f"content:{full.hexdigest()}"
-    tree = {tuple(r) for r in digest.content_revision(table, linear_rows=10).collect()}
-    assert {tuple(r) for r in digest.content_revision(table.repartition(7), linear_rows=10).collect()} == tree
+    tree = {tuple(r) for r in digest.content_revision(table).collect()}
+    assert {tuple(r) for r in digest.content_revision(table.repartition(7)).collect()} == tree
     changed = table.withColumn("content_hash", F.when(F.col("path") == "p0007", F.sha2(F.lit("x"), 256)).otherwise(F.col("content_hash")))
-    assert not tree & {tuple(r) for r in digest.content_revision(changed, linear_rows=10).collect()}
+    assert not tree & {tuple(r) for r in digest.content_revision(changed).collect()}
 
 
 def test_new_cycles_compare_member_sets(spark):

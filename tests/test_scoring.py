@@ -44,4 +44,4 @@ def test_complete_run_allows_claims(spark):
     assert evaluation.claims(reasons, records, questions).first().comparative_claims_allowed
     unpaired = records.withColumn("plan", F.concat("plan", "condition"))
     assert {r.reason for r in evaluation.completeness(unpaired, questions, expected).collect()} == {
-        "q1:B/C request plans are not paired", "q2:B/C request plans are not paired"}
+        "q1:plans_not_paired", "q2:plans_not_paired"}
