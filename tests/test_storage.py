@@ -96,3 +96,26 @@ def test_sessions_whose_files_come_in_any_order(spark, tmp_path):
     found = streaming.drain(streaming.session_state(stream), "update")
     last = found.groupBy("session_id").agg(F.max_by(F.struct("state", "late_events", "revision_id"), "batch").alias("r")).select("r.*")
     assert {tuple(r) for r in last.collect()} == {("completed", 3, "r1")} and last.count() == 10
+
+
+def test_hubs_keep_all_relations_on_several_cards(spark, monkeypatch):
+    from repograph import constants, schemas
+    from repograph.operators import cards
+
+    monkeypatch.setattr(constants, "MAX_DEGREE", 20)
+    nodes = spark.createDataFrame(
+        [{"repository_id": "r", "revision_id": "v", "id": f"n{i}", "logical_id": f"n{i}", "kind": "FUNCTION", "qualified_name": f"m.f{i}",
+          "display_name": f"f{i}", "path": "m.py"} for i in range(101)], schemas.NODES)
+    edges = spark.createDataFrame(
+        [{"repository_id": "r", "revision_id": "v", "id": f"e{i}", "source_id": "n0", "target_id": f"n{i}", "predicate": "CALLS",
+          "quality": "exact", "owner_source_id": "n0", "extractor": "x", "extractor_version": "1",
+          "evidence": [{"path": "m.py", "start_line": i, "end_line": i}]} for i in range(1, 101)], schemas.EDGES)
+    made = cards.build_cards(nodes, edges)
+    hub = made.where("node_id = 'n0'").collect()
+    assert len(hub) == 8 and len({r.source_id for r in hub}) == 8
+    assert sorted(x.target for r in hub for x in r.relations) == sorted(f"n{i}" for i in range(1, 101))
+    assert sum(r.content.count("- outgoing") for r in hub) == 100
+    assert made.where("node_id <> 'n0'").count() == 100
+    assert cards.unfit_relations(nodes, edges).count() == 0
+    long = made.withColumn("qualified_name", F.repeat(F.lit("x"), 2000))
+    assert cards.card_records(long).count() == 0 and cards.unfit_cards(long).count() == 108
