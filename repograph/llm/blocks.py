@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repograph.llm.tables import store
+
 PAIR = ["block_a", "block_b"]
 
 
@@ -59,3 +61,28 @@ def stars(ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Table:
     held = ids[order]
     some = held[root] != held
     return pa.table({"a": pa.array(held[some], pa.int64()), "b": pa.array(held[root][some], pa.int64())})
+
+
+ROWS_PER_LOT = 1 << 15
+
+
+def compare_in_lots(pairs: DataFrame, keys: list[str], compare, schema: str) -> DataFrame:
+    """``compare`` on the rows of every key, many small keys in one task's table."""
+
+    pairs = store(pairs)
+    lots = 1 + pairs.count() // ROWS_PER_LOT
+    lots = max(lots, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(k, "ascending") for k in keys]).combine_chunks()
+        changed = np.zeros(max(table.num_rows - 1, 0), bool)
+        for key in keys:
+            values = table[key].to_numpy()
+            changed |= values[1:] != values[:-1]
+        bounds = [0, *(np.flatnonzero(changed) + 1).tolist(), table.num_rows]
+        return pa.concat_tables([
+            compare(table.slice(a, b - a)) for a, b in zip(bounds, bounds[1:], strict=False) if b > a + 1
+        ] or [compare(table.slice(0, 1))])
+
+    lot = F.pmod(F.xxhash64(*keys), F.lit(lots))
+    return pairs.groupBy(lot.alias("lot")).applyInArrow(lambda table: run(table), schema)

@@ -27,6 +27,7 @@ def _roots(parents: DataFrame) -> DataFrame:
                 "node", F.coalesce("next", "parent").alias("parent"),
                 (F.col("next") != F.col("parent")).alias("moved")))
         parents = jumped.select("node", "parent")
+        # Where no parent moved, the parents were roots before this step.
         if not _any(jumped.where("moved")):
             return parents
 
@@ -38,11 +39,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels: DataFrame | None = None
     while _any(edges):
-        # Only the smaller end can be a smallest neighbour of the other; the smaller keeps itself or less.
-        lower = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
-        parents = _roots(store(
-            lower.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("parent")))
-            .groupBy("node").agg(F.min("parent").alias("parent"))))
+        # An edge offers its smaller end to both ends; the smallest offer is the parent.
+        offers = edges.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("parent"))
+        parents = _roots(offers.groupBy("node").agg(F.min("parent").alias("parent")))
         if labels is None:
             labels = parents.select("node", F.col("parent").alias("component"))
         else:

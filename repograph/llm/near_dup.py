@@ -7,9 +7,11 @@ estimates their similarity, sharply where it is high.  A candidate is dropped if
 than ``MARGIN`` below the threshold (over five standard errors); all others are confirmed on the full sets.
 
 A band bucket may hold a third of all texts, so its pairs are never listed.  First every member is
-compared with the bucket's smallest member.  What is then still in another component than most of
-its bucket is compared with all the bucket's members outside its own component.  Every pair of a bucket
-is thus compared or already connected, so components are those of the whole link graph over candidates.
+compared with the bucket's smallest member.  If members are then still in other components than
+most of the bucket, their sketches are compared with all others, block by block inside tasks, which
+leaves families of texts with likely links; in these the full sets are compared, again by blocks, but for
+texts already in the family's main component.  Only links to a block's smallest text leave a task.  Every pair of a
+bucket is thus compared or already connected, so components are those of the whole link graph over candidates.
 Two texts at the threshold of 0.8 share no band with a chance of 1.3e-7.
 
 Words are runs of bytes other than 20 and 09-0D, A-Z lower-cased.  Fewer words than a shingle make
@@ -27,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repograph.llm import arrays
+from repograph.llm import arrays, blocks
 from repograph.llm.components import connected_components
 from repograph.llm.tables import store
 
 BANDS, ROWS = 40, 5
 SKETCH_BITS = 512
 MARGIN = 0.2
-EMPTY = np.uint64(0)
+SKETCH_BLOCK, TEXT_BLOCK, COLUMNS = 512, 256, 4096
 
 _FACTORS = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * arrays.U64(2) + arrays.U64(1)
 
@@ -147,6 +149,50 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, numerator: int, de
         .mapInArrow(_compare(size, numerator, denominator), "a long, b long").distinct())
 
 
+def _likely_families(least: float):
+    """Links that sketches suggest between members of different components."""
+
+    most = SKETCH_BITS / 2 * (1 - math.exp((least - 1) * 4 * BANDS * ROWS / SKETCH_BITS))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, labels = (table[c].to_numpy() for c in ("id", "label"))
+        sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        x, y = blocks.sides(table)
+        differing = np.zeros((len(x), len(y)), np.int64)
+        for word in range(sketch.shape[1]):
+            differing += np.bitwise_count(sketch[x, word][:, None] ^ sketch[y, word])
+        i, j = np.nonzero((differing <= most) & (labels[x][:, None] != labels[y]))
+        return blocks.stars(ids, x[i], y[j])
+
+    return compare
+
+
+def _compare_blocks(size: int, numerator: int, denominator: int):
+    def compare(table: pa.Table) -> pa.Table:
+        ids = table["id"].to_numpy()
+        sets, first = arrays.shingles(*arrays.word_hashes(*arrays.column_bytes(table["text"])), size)
+        _, column, held_by = np.unique(sets, return_inverse=True, return_counts=True)
+        # Shingles of one text are in no intersection.
+        number = np.cumsum(held_by > 1) - 1
+        shared = held_by[column] > 1
+        row, column = arrays.row_numbers(first)[shared], number[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        x, y = blocks.sides(table)
+        common = np.zeros((len(x), len(y)), np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [start, start + COLUMNS])
+            marks = np.zeros((len(ids), COLUMNS), np.float32)
+            marks[row[a:b], column[a:b] - start] = 1
+            common += marks[x] @ marks[y].T
+        counts = np.diff(first)
+        union = counts[x][:, None] + counts[y] - common
+        i, j = np.nonzero((denominator * common >= numerator * union) & (common > 0) & (ids[x][:, None] != ids[y]))
+        return blocks.stars(ids, x[i], y[j])
+
+    return compare
+
+
 def near_duplicates(
     documents: DataFrame, size: int = 5, numerator: int = 80, denominator: int = 100,
     id_column: str = "doc_id", text_column: str = "text",
@@ -183,11 +229,22 @@ def near_duplicates(
     # The largest component of each bucket; only buckets with several others or more matter.
     largest = groups.groupBy("band").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("several")).where("several > 1")
-    open_rows = store(placed.join(largest, "band").where("id != hub"))
-    minor = open_rows.where("label != main").select("band", F.col("id").alias("x"), F.col("label").alias("label_x"))
-    rest = minor.join(open_rows.select("band", F.col("id").alias("y"), "label"), "band").where(
-        "x != y AND label_x != label").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _confirmed(_likely(rest, classes, threshold), texts, size, numerator, denominator)
+    open_rows = placed.join(largest, "band").where("id != hub").select(
+        "band", "id", "label", (F.col("label") == F.col("main")).alias("settled"))
+    sketched = store(open_rows.join(classes.select("id", "sketch"), "id"))
+    likely = store(blocks.compare_in_lots(
+        blocks.block_pairs(sketched, ["band"], SKETCH_BLOCK, "settled"), ["band", *blocks.PAIR],
+        _likely_families(threshold - MARGIN), "a long, b long").distinct())
+    families = connected_components(likely).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    named = store(families.join(labels, F.col("id") == F.col("node"), "left").select(
+        "id", "family", F.coalesce("component", "id").alias("label")))
+    main = named.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"))
+    held = named.join(main, "family").join(texts, "id").select(
+        "id", "family", "text", (F.col("label") == F.col("main")).alias("settled"))
+    more = store(
+        blocks.block_pairs(store(held), ["family"], TEXT_BLOCK, "settled").groupBy("family", *blocks.PAIR)
+        .applyInArrow(_compare_blocks(size, numerator, denominator), "a long, b long").distinct())
     labels = store(connected_components(links.unionByName(more).unionByName(copies)))
     return signed.join(labels, signed["id"] == labels["node"], "left").select(
         F.col("id").alias(id_column), "n_shingles", F.coalesce("component", "id").alias("component_id"),
