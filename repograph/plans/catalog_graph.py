@@ -79,7 +79,7 @@ def rollup_files(spark, sf_dir):
 @register(
     "rollup_members",
     f"""{BEFORE}, {oracle.rollup_cte('packages')},
-    placed AS (SELECT e.id AS edge_id, evidence_ids, s.group_id AS sg, predicate, t.group_id AS tg
+    placed AS MATERIALIZED (SELECT e.id AS edge_id, evidence_ids, s.group_id AS sg, predicate, t.group_id AS tg
       FROM edges_before e JOIN grouped s ON source_id = s.id JOIN grouped t ON target_id = t.id
       WHERE quality = 'exact' AND s.group_id <> t.group_id)
     SELECT r.id, edge_id, unnest(string_split(evidence_ids, ',')) AS evidence_id

@@ -123,11 +123,11 @@ def graph(*revisions: str) -> str:
 
 def groups_cte(depth: str, revision: str = "before") -> str:
     if depth == "files":
-        return f"""grouped AS (
+        return f"""grouped AS MATERIALIZED (
   SELECT n.id, f.id AS group_id FROM nodes_{revision} n
   JOIN nodes_{revision} f ON f.kind = 'FILE' AND f.path = n.path)"""
-    return f"""packages AS (SELECT path, id FROM nodes_{revision} WHERE kind = 'PACKAGE'),
-grouped AS (
+    return f"""packages AS MATERIALIZED (SELECT path, id FROM nodes_{revision} WHERE kind = 'PACKAGE'),
+grouped AS MATERIALIZED (
   SELECT n.id, arg_max(p.id, length(p.path)) AS group_id
   FROM nodes_{revision} n JOIN packages p
     ON n.kind <> 'PACKAGE' AND starts_with(n.path, p.path || '/')
@@ -142,7 +142,7 @@ def rollup_cte(depth: str, revision: str = "before", visible: str = "") -> str:
         f"'trade:{depth}:' || source_group_id || ':' || predicate || ':' || target_group_id",
     )
     return f"""{groups_cte(depth, revision)},
-rolled AS (
+rolled AS MATERIALIZED (
   SELECT *, {aggregate} AS id FROM (
     SELECT s.group_id AS source_group_id, predicate, t.group_id AS target_group_id,
            count(*) AS exact_relation_count
