@@ -46,14 +46,28 @@ def work_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; all its intermediate tables lie there."""
+
+    return f"{work_dir(spark)}/repograph-{spark.sparkContext.applicationId}"
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables, when no DataFrame needs them any more."""
+
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back.
 
     The written table survives lost executors, and its file size is a checked size: the
-    planner broadcasts the table only while it is below the broadcast threshold.
+    planner broadcasts the table only while it is below the broadcast threshold.  It stays until
+    :func:`clear_run`.
     """
 
-    path = f"{work_dir(df.sparkSession)}/repograph-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

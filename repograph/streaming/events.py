@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from repograph import constants as K
 from repograph.operators import observe
-from repograph.session import work_dir
+from repograph.session import run_folder
 
 EVENT_ROWS = (
     "event_id STRING, session_id STRING, timestamp STRING, type STRING, revision_id STRING, "
@@ -154,7 +154,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over everything available and return what it wrote, as a table."""
 
     spark = stream.sparkSession
-    root = f"{work_dir(spark)}/repograph-stream-{uuid.uuid4().hex}"
+    root = f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{root}/out"
 
     def save(batch: DataFrame, number: int) -> None:
