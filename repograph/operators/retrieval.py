@@ -6,6 +6,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +21,8 @@ from repograph.session import cut
 
 # Ranks compare rounded scores, so exact copies tie whatever the order of summation was.
 RANK_DIGITS = 9
+# Weights of questions that a task holds at once, and documents that are scored at once.
+ASKED_ROWS, SCORED_DOCS, HELD_ROWS = 1 << 20, 512, 1 << 18
 
 
 def _runs(words: Column) -> Column:
@@ -106,12 +114,96 @@ def top_ranked(scores: DataFrame, limit: Column | int, keys: list[str] | None =
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of each question, in the order of :func:`top_ranked`."""
+
+    order = rows.assign(place=-rows["score"].round(RANK_DIGITS)).sort_values(["question_id", "place", "document_id"])
+    return order.groupby("question_id", sort=False).head(k).drop(columns="place")
+
+
+def _score_documents(asked: pd.DataFrame, k: int):
+    """Cosines of whole documents with all asked questions; each task passes on its k best."""
+
+    tokens, token_no = np.unique(asked["token"].to_numpy(object), return_inverse=True)
+    questions, question_no = np.unique(asked["question_id"].to_numpy(object), return_inverse=True)
+    weights = np.zeros((len(tokens), len(questions)))
+    # A document's weight of a token is its share times the token's idf.
+    weights[token_no, question_no] = asked["weight"] * asked["idf"]
+    known = pa.array(tokens, pa.string())
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            for start in range(0, batch.num_rows, SCORED_DOCS):
+                part = batch.slice(start, SCORED_DOCS)
+                terms = part.column("terms")
+                rows = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy())
+                flat = terms.flatten()
+                place = pc.index_in(flat.field("token"), value_set=known)
+                found = place.is_valid().to_numpy(zero_copy_only=False)
+                shares = np.zeros((len(part), len(tokens)))
+                total, norm = (part.column(c).to_numpy() for c in ("total", "doc_norm"))
+                amount = flat.field("amount").to_numpy()[found]
+                rows = rows[found]
+                shares[rows, place.drop_null().to_numpy()] = amount / total[rows] / norm[rows]
+                scores = shares @ weights
+                limit = max(len(part) - k, 0)
+                least = np.partition(scores, limit, axis=0)[limit] - 10.0**-RANK_DIGITS
+                doc, question = np.nonzero((scores > 0) & (scores >= least))
+                held.append(pd.DataFrame({
+                    "question_id": questions[question],
+                    "document_id": part.column("document_id").to_numpy(zero_copy_only=False)[doc],
+                    "score": scores[doc, question]}))
+                if sum(map(len, held)) > HELD_ROWS:
+                    held = [_best(pd.concat(held), k)]
+        if held:
+            yield pa.RecordBatch.from_pandas(_best(pd.concat(held), k), preserve_index=False)
+
+    return score
+
+
+def tfidf_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """The k best documents of each question.
+
+    A document's words stay in one row, so all of its scores are complete in its task, and only
+    the k best of each task and question are shuffled.  The weights of the questions' own words
+    go to the tasks in blocks of a bounded number of rows.
+    """
+
+    words = F.sort_array(text.token_bag(F.col("content")))
+    rows = cut(docs.select("document_id", words.alias("words")).select(
+        "document_id", F.size("words").alias("total"), _runs(F.col("words")).alias("terms")))
+    counts = rows.select("document_id", "total", F.inline("terms").alias("token", "amount"))
+    idf = cut(inverse_frequencies(counts.select("document_id", "token"), docs, []))
+    asked = token_counts(questions, ["question_id"], "question").join(idf, "token").select(
+        "question_id", "token", "idf", (F.col("amount") / F.col("total") * F.col("idf")).alias("weight"))
+    norms = asked.groupBy("question_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    asked = cut(asked.join(norms, "question_id").select(
+        "question_id", "token", "idf", (F.col("weight") / F.col("norm")).alias("weight")))
+    weight = F.col("amount") / F.col("total") * F.col("idf")
+    doc_norms = counts.join(idf, "token").groupBy("document_id").agg(F.sqrt(F.sum(weight * weight)).alias("doc_norm"))
+    normed = cut(rows.join(doc_norms, "document_id").select("document_id", "total", "terms", "doc_norm"))
+    blocks = 1 + asked.count() // ASKED_ROWS
+    block = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+    kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema.fields, *normed.schema.fields]}
+    schema = f"question_id {kinds['question_id']}, document_id {kinds['document_id']}, score double"
+    found = None
+    for number in range(blocks):
+        part = asked.where(block == number).toPandas()
+        if len(part):
+            scored = normed.mapInArrow(_score_documents(part, k), schema)
+            found = scored if found is None else found.unionByName(scored)
+    if found is None:
+        found = asked.select("question_id").join(normed.select("document_id"), F.lit(False)).withColumn("score", F.lit(0.0))
+    return top_ranked(found, k)
+
+
 def tfidf_search(
     docs: DataFrame, questions: DataFrame, k: int = 10, keys: list[str] | None = None
 ) -> DataFrame:
     if not 1 <= k <= 100:
         raise ValueError("k must be between 1 and 100")
-    return top_ranked(tfidf_scores(docs, questions, keys), k, keys)
+    return top_ranked(tfidf_scores(docs, questions, keys), k, keys) if keys else tfidf_top(docs, questions, k)
 
 
 def card_filter(
@@ -151,7 +243,7 @@ def _chunks(cards: DataFrame, ranked: DataFrame) -> DataFrame:
 
 def rank_cards(cards: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     docs = cards.select(F.col("source_id").alias("document_id"), "content")
-    return top_ranked(tfidf_scores(docs, questions), k)
+    return tfidf_top(docs, questions, k)
 
 
 def retrieve(
