@@ -102,6 +102,77 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
 """ % ", ".join(str(rule) for rule in URL_RULES)
 
+# Components by following links from every node.
+REACH = """reach(start, node) AS (
+  SELECT id, id FROM nodes UNION SELECT r.start, l.b FROM reach r JOIN links l ON l.a = r.node),
+components AS (SELECT start AS id, min(node) AS component_id FROM reach GROUP BY start)"""
+
+OP4_SQL = f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+usable AS (
+  SELECT * FROM nodes WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b FROM usable a JOIN usable b ON a.id <> b.id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+{REACH}
+SELECT n.id AS vec_id, (SELECT count(*) FROM links WHERE a = n.id) AS n_links, component_id,
+  component_id = n.id AS kept
+FROM nodes n JOIN components USING (id)
+"""
+
+OP7_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
+  FROM documents),
+nodes AS (SELECT id FROM words),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT id, w[i] || ' ' || w[i + 1] AS shingle
+  FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM words WHERE len(w) > 1)
+  UNION ALL SELECT id, w[1] FROM words WHERE len(w) = 1),
+sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+common AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (shingle)
+  WHERE a.id <> b.id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM common c JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b
+  WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+{REACH}
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = id AS kept
+FROM nodes JOIN components USING (id) LEFT JOIN sizes USING (id)
+"""
+
+OP8_SQL = """
+WITH texts AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+-- Parts of 200 starts, because a substring is searched for from the start of its string.
+parts AS (
+  SELECT doc_id, base, n, substr(h, 2 * base + 1, 498) AS part
+  FROM (SELECT doc_id, h, n, unnest(range(0, n - 49, 200)) AS base FROM texts WHERE n >= 50)),
+starts AS MATERIALIZED (
+  SELECT doc_id, base + i AS i, md5_number(substr(part, 2 * i + 1, 100)) AS s
+  FROM (SELECT doc_id, base, part, unnest(range(0, least(200, n - 49 - base))) AS i FROM parts)),
+first_seen AS (SELECT s, min(doc_id) AS least FROM starts GROUP BY s),
+found AS (SELECT doc_id, i FROM starts JOIN first_seen USING (s) WHERE least < doc_id),
+marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh
+  FROM found),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs
+  UNION ALL SELECT doc_id, max(b), NULL FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT p.doc_id, string_agg(substr(h, 2 * p.a + 1, 2 * (coalesce(p.b, n) - p.a)), '' ORDER BY p.a) AS h
+  FROM pieces p JOIN texts t ON t.doc_id = p.doc_id GROUP BY p.doc_id),
+sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT t.doc_id, t.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k.h, t.h))) AS kept_sha256
+FROM texts t LEFT JOIN sums USING (doc_id) LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
+
 OP5_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -151,4 +222,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
 }
-SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_chat": OP5_SQL, "op10_sharding": OP10_SQL}
+SQL: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
+    "op4_embeddings": OP4_SQL,
+    "op5_chat": OP5_SQL,
+    "op7_near_dup": OP7_SQL,
+    "op8_repeats": OP8_SQL,
+    "op10_sharding": OP10_SQL,
+}
