@@ -141,7 +141,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, numerator: int, de
 
     pairs = store(pairs.distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = store(texts.join(ids, "id", "left_semi"))
+    # The ids can be a fixed share of all, so they are joined by a shuffle at every size.
+    held = store(texts.join(ids.hint("shuffle_merge"), "id", "left_semi"))
     return store(
         pairs.join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
