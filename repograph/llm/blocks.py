@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repograph.llm import arrays
 from repograph.llm.tables import store
 
 PAIR = ["block_a", "block_b"]
@@ -85,4 +86,4 @@ def compare_in_lots(pairs: DataFrame, keys: list[str], compare, schema: str) ->
         ] or [compare(table.slice(0, 1))])
 
     lot = F.pmod(F.xxhash64(*keys), F.lit(lots))
-    return pairs.groupBy(lot.alias("lot")).applyInArrow(lambda table: run(table), schema)
+    return pairs.groupBy(lot.alias("lot")).applyInArrow(arrays.tidy(run), schema)

@@ -106,7 +106,7 @@ def _count(known: np.ndarray):
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"gram": lookup.keys[used].view(np.int64), "n": total[used]})
 
-    return count
+    return arrays.tidy(count)
 
 
 def pick_seeds(items: Items, held_by: np.ndarray, texts: int) -> np.ndarray:
@@ -204,7 +204,7 @@ def _match(items: Items):
                         pa.array(score[good]), pa.array(best[good].astype(np.int64)), pa.array((left + ends)[good])],
                         names=["doc_id", "item_id", "score", "aligned", "end_word"])
 
-    return match
+    return arrays.tidy(match)
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",

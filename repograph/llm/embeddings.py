@@ -96,7 +96,7 @@ def _codes(bits: int, tables: int):
                         pa.array(list(code.astype(np.int32)), pa.list_(pa.int32()))],
                         names=["id", "vector", "width", "n", "codes", "keys"])
 
-    return sign
+    return arrays.tidy(sign)
 
 
 LINKS = "id long, n_links long, b long"
@@ -126,7 +126,7 @@ def _compare(bits: int, threshold: float):
             "n_links": pa.array(np.append(links[some], np.zeros(len(edges), np.int64))),
             "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), edges["b"].combine_chunks()])})
 
-    return compare
+    return arrays.tidy(compare)
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = 0.9, id_column: str = "vec_id",

@@ -167,7 +167,7 @@ def _predict(model: Model, text_index: int):
                 [*batch.columns, pa.array(names, pa.string()), pa.array(score), pa.array(score < MIN_SCORE)],
                 names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
-    return predict
+    return arrays.tidy(predict)
 
 
 def predict(documents: DataFrame, model: Model, text_column: str = "text") -> DataFrame:

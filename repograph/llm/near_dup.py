@@ -88,7 +88,7 @@ def _signatures(size: int):
                     [ids.slice(start, stop - start), pa.array(counts), *map(pa.array, marks), _lists(bands), _lists(sketch)],
                     names=["id", "n_shingles", "high", "low", "bands", "sketch"])
 
-    return sign
+    return arrays.tidy(sign)
 
 
 def _estimate(a: str, b: str) -> Column:
@@ -133,7 +133,7 @@ def _compare(size: int, numerator: int, denominator: int):
             mask = pa.array(np.concatenate(kept) if kept else np.empty(0, bool))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(mask)
 
-    return compare
+    return arrays.tidy(compare)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _likely_families(least: float):
         i, j = np.nonzero((differing <= most) & (labels[x][:, None] != labels[y]))
         return blocks.stars(ids, x[i], y[j])
 
-    return compare
+    return arrays.tidy(compare)
 
 
 def _compare_blocks(size: int, numerator: int, denominator: int):
@@ -191,7 +191,7 @@ def _compare_blocks(size: int, numerator: int, denominator: int):
         i, j = np.nonzero((denominator * common >= numerator * union) & (common > 0) & (ids[x][:, None] != ids[y]))
         return blocks.stars(ids, x[i], y[j])
 
-    return compare
+    return arrays.tidy(compare)
 
 
 def near_duplicates(

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repograph.llm import arrays
 from repograph.llm.tables import store
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, part long, number long")
@@ -58,7 +59,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                     pa.array(sums), pa.array(np.full(len(rows), part)), pa.array(numbers)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"])
 
-    return cut
+    return arrays.tidy(cut)
 
 
 class _Stock:

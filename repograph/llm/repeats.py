@@ -37,7 +37,7 @@ from repograph.llm.tables import store
 DIGIT = 20
 DIGITS = 1 << 12
 HEAVY = 4
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 LAST = np.iinfo(np.int64).max
 
 SPANS = "doc long, row long, start int, stop int, open boolean, heavy boolean"
@@ -90,7 +90,7 @@ def _count_digits(length: int):
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"digit": used, "n": total[used]})
 
-    return count
+    return arrays.tidy(count)
 
 
 ENTRY = [("gram", np.uint64), ("around", np.uint64), ("doc", np.int64), ("row", np.int64), ("at", np.int32),
@@ -174,7 +174,7 @@ def _deal_anchors(length: int, buckets: int, heavy: np.ndarray):
                     rows_out += _deal_out(kind, key[part], [c[part] for c in entry], buckets)
                 yield _dealt(rows_out)
 
-    return deal
+    return arrays.tidy(deal)
 
 
 def _span_table(parts: list[tuple]) -> pa.Table:
@@ -246,7 +246,7 @@ def _surroundings(length: int, buckets: int):
                         pa.array(list(map(bytes, held)), pa.binary()), pa.array(heavy[first + text])],
                         names=["bucket", "doc", "row", "at", "low", "high", "bytes", "heavy"])
 
-    return cut_out
+    return arrays.tidy(cut_out)
 
 
 def _window_hashes(held: np.ndarray, low: np.ndarray, high: np.ndarray, length: int):
@@ -283,7 +283,7 @@ def _sort_windows(length: int):
         some = np.flatnonzero(far >= 0)
         return _span_table([(doc[some], row[some], (at - far)[some], (at - near + length)[some], False, False)])
 
-    return sort
+    return arrays.tidy(sort)
 
 
 def _deal_windows(length: int, buckets: int):
@@ -304,7 +304,7 @@ def _deal_windows(length: int, buckets: int):
                 r for kind, part in (("settled", order[settled]), ("entry", order[~settled]))
                 for r in _deal_out(kind, entry[0][part], [c[part] for c in entry], buckets)])
 
-    return deal
+    return arrays.tidy(deal)
 
 
 def _sort_heavy(length: int):
@@ -318,7 +318,7 @@ def _sort_heavy(length: int):
         doc, row, start = (np.concatenate(p) for p in ((doc[found], s_doc), (row[found], s_row), (start[found], s_start)))
         return _span_table([(doc, row, start, start + length, False, False)])
 
-    return sort
+    return arrays.tidy(sort)
 
 
 def _merge(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,7 +355,7 @@ def repeated_spans(documents: DataFrame, length: int = 50, id_column: str = "doc
         long_enough.mapInArrow(
             _deal_anchors(length, buckets, np.array(heavy, np.int64)),
             DEALT)
-        .groupBy("bucket").applyInArrow(_sort_bucket, SPANS))
+        .groupBy("bucket").applyInArrow(arrays.tidy(_sort_bucket), SPANS))
     opened = first.where("open").groupBy("doc", "row", "heavy").agg(F.collect_list("start").alias("at"))
     around = store(
         opened.join(long_enough.dropDuplicates(["doc", "row"]), ["doc", "row"])
@@ -399,7 +399,7 @@ def _cut_texts(text_index: int, schema_names: list[str]):
             yield pa.RecordBatch.from_arrays(
                 [*columns, *numbers], names=[*schema_names, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return apply
+    return arrays.tidy(apply)
 
 
 def remove_repeats(documents: DataFrame, length: int = 50, id_column: str = "doc_id",

@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from repograph.llm import arrays
 
 SLICE_BYTES = 1 << 20
-CACHED = 1 << 19
+CACHED = 1 << 18
 AT_ONCE = 1 << 12
 #: How byte-level pre-tokenization splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,17 +42,20 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def fast_encoding(path: str, tokenizer: Tokenizer) -> tiktoken.Encoding | None:
+def read_file(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+def fast_encoding(held: dict) -> tiktoken.Encoding | None:
     """An encoder of plain text with the file's ids; None if its ids are not the order of its merges."""
 
-    with open(path, encoding="utf-8") as file:
-        held = json.load(file)
     pre, model = held.get("pre_tokenizer") or {}, held["model"]
     if (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True), held.get("normalizer")) != (
             "ByteLevel", False, True, None) or model.get("type") != "BPE" or model.get("ignore_merges"):
         return None
     alphabet = _byte_alphabet()
-    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    special = {t["content"] for t in held.get("added_tokens", [])}
     vocabulary = {t: i for t, i in model["vocab"].items() if t not in special}
     merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
     ids = [vocabulary.get(m, -1) for m in merged]
@@ -66,11 +69,16 @@ class TextEncoder:
     """Encodes slices of texts; keeps the ids of at most ``CACHED`` chunks besides those of a slice."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast = fast_encoding(path, self.tokenizer)
+        held = read_file(path)
+        self.path = path
+        self.specials = [t["content"].encode() for t in held.get("added_tokens", [])]
+        self.fast = fast_encoding(held)
         self._forget()
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def _forget(self) -> None:
         self.keys = np.empty(0, np.uint64)
         self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)

@@ -85,7 +85,7 @@ def test_empty_table(spark):
 
 def test_both_encoders_give_the_same_ids():
     tokenizer = Tokenizer.from_file(PATH)
-    fast = tokens.fast_encoding(PATH, tokenizer)
+    fast = tokens.fast_encoding(tokens.read_file(PATH))
     assert fast is not None
     pick = random.Random(1)
     letters = [*map(chr, range(9, 14)), *map(chr, range(32, 127)), "é", "ß", "ñ", "日", "́", "½", "'s", "'ll", "😀"]
