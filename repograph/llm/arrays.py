@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import inspect
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +27,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 MARKS = np.zeros(256, bool)
 MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
+# Scripts that are written without blanks between words.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),
+    (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x303C), (0x3040, 0x312F), (0x31A0, 0x9FFF),
+    (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x11700, 0x1174F),
+    (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF))
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -107,12 +114,20 @@ def word_bounds(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and stops of words (no byte of ``between``: 09-0D and 20), and each row's first word."""
 
-    space = between[data]
-    before, after = np.ones(len(data), bool), np.ones(len(data), bool)
+    return _bounds(between[data], offsets)
+
+
+def _bounds(
+    space: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    before, after = np.ones(len(space), bool), np.ones(len(space), bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     filled = offsets[1:] > offsets[:-1]
     before[offsets[:-1][filled]] = True
     after[offsets[1:][filled] - 1] = True
+    if breaks is not None:
+        before[breaks[breaks < len(space)]] = True
+        after[breaks[breaks > 0] - 1] = True
     starts = np.flatnonzero(~space & before)
     stops = np.flatnonzero(~space & after) + 1
     return starts, stops, np.searchsorted(starts, offsets)
@@ -128,6 +143,50 @@ def word_hashes(
     return range_hashes(prefix_sums(data), starts, stops), first
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 for marks, 2 for characters that are words of their own, 0 for others."""
+
+    kinds = np.zeros(0x110000, np.uint8)
+    for first, last in UNSPACED:
+        kinds[first:last + 1] = 2
+    # Marks and symbols lie in these two ranges.
+    for point in (*range(0x20000), *range(0xE0000, 0xE0200)):
+        category = unicodedata.category(chr(point))
+        if category[0] in "PZ" or category in ("Cc", "Cf", "Sk"):
+            kinds[point] = 1
+        elif category[0] == "S":
+            kinds[point] = 2
+    kinds[0xFE00:0xFE10] = kinds[0xE0100:0xE01F0] = 1  # variation selectors
+    return kinds
+
+
+def script_word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes`` with words of all scripts between marks.
+
+    Marks are ``MARKS`` and Unicode punctuation, blanks and format characters.  Each character of a script
+    without blanks is a word, as is each symbol that is not ASCII.
+    """
+
+    data = lowered(data)
+    space, breaks = MARKS[data], None
+    at = np.flatnonzero(data >= 0xC0)
+    if len(at):
+        point = data[at].astype(np.int64)
+        size = 2 + (point >= 0xE0) + (point >= 0xF0)
+        point &= np.array([0x1F, 0x0F, 0x07])[size - 2]
+        for i in range(1, 4):
+            more = data[np.minimum(at + i, len(data) - 1)] & 0x3F
+            point = np.where(size > i, point << 6 | more, point)
+        kind = _kinds()[np.minimum(point, 0x10FFFF)]
+        for i in range(4):
+            space[np.minimum(at + i, len(data) - 1)[(kind == 1) & (size > i)]] = True
+        own = kind == 2
+        breaks = np.concatenate([at[own], np.minimum(at + size, len(data))[own]])
+    starts, stops, first = _bounds(space, offsets, breaks)
+    return range_hashes(prefix_sums(data), starts, stops), first
+
+
 def row_numbers(first: np.ndarray) -> np.ndarray:
     """The row of each element, from the rows' first elements."""
 

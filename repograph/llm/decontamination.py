@@ -11,9 +11,12 @@ of ``MIN_SCORE`` over ``MIN_ALIGNED`` words or more are contaminated.
 Items are read in blocks of about ``BLOCK_BYTES`` of text, so what a task holds of them is bounded; each block
 is matched against all texts in place, without a shuffle of texts.
 
-Words are lower-cased runs of ASCII letters and digits and of all other characters, so changes of case
-and punctuation do not count as edits.  Items of under ``MIN_WORDS`` words prove
-nothing and are left out, as are null ones.  Null and empty texts match nothing.  Rows that share an id are
+Words are lower-cased runs of letters and digits between blanks and punctuation (of ASCII and Unicode), so changes
+of case and punctuation do not count as edits.  In scripts without blanks (Chinese, Japanese, Thai and others) each
+character is a word.  Items of under ``MIN_WORDS`` words are too short for half an alignment to prove anything: they
+are searched by their whole sequence of words and match where it stands unchanged, with a score of 1.  Items of
+under ``LEAST_WORDS`` words, by default those without a gram, are left out, as are null ones; the parameter
+``least_words`` sets that down to 1.  Null and empty texts match nothing.  Rows that share an id are
 reported once per item; extra columns are not read; empty tables give no matches.
 """
 
@@ -32,6 +35,7 @@ from repograph.llm.tables import store
 
 SEED, WINDOW, RARE, FEW = 3, 8, 0.001, 100
 MIN_WORDS, MIN_ALIGNED, MIN_SCORE = 8, 6, 0.5
+LEAST_WORDS = SEED
 BLOCK_BYTES = 8 << 20
 CELLS = 1 << 21
 
@@ -64,11 +68,23 @@ def grams(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return value, at
 
 
+def sequences(words: np.ndarray, first: np.ndarray, sizes: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each of the sizes: the size, and hashes and positions of all runs of so many words of the rows."""
+
+    left = first[1:][arrays.row_numbers(first)] - np.arange(len(words))
+    value = np.zeros(len(words), np.uint64)
+    for size in range(1, min(max(sizes, default=0), len(words)) + 1):
+        value = arrays.joined(value[:len(words) - size + 1], words[size - 1:])
+        if size in sizes:
+            at = np.flatnonzero(left[:len(value)] >= size)
+            yield size, value[at], at
+
+
 def read_items(rows: list) -> Items:
     """Items of (item_id, text) rows, in order of their ids."""
 
     texts = pa.array([r["text"] for r in rows], pa.string())
-    words, first = arrays.word_hashes(*arrays.column_bytes(texts), arrays.MARKS)
+    words, first = arrays.script_word_hashes(*arrays.column_bytes(texts))
     value, at = grams(words, first)
     owners = np.searchsorted(first, at, side="right") - 1
     return Items([r["item_id"] for r in rows], words, first, value, owners, at - first[owners])
@@ -98,7 +114,7 @@ def _count(known: np.ndarray):
         total = np.zeros(len(lookup.keys), np.int64)
         for batch in batches:
             for start, stop, data, offsets in arrays.text_slices(batch.column("text")):
-                words, first = arrays.word_hashes(data, offsets, arrays.MARKS)
+                words, first = arrays.script_word_hashes(data, offsets)
                 value, at = grams(words, first)
                 found, place = lookup.find(value)
                 row = np.searchsorted(first, at[found], side="right") - 1
@@ -152,7 +168,36 @@ def align(items: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, ends
 
 
-def _match(items: Items):
+class _Whole:
+    """Short items by the hash of all their words."""
+
+    def __init__(self, items: Items, least_words: int):
+        sizes = np.diff(items.first)
+        self.items, self.known = items, {}
+        for size, value, at in sequences(items.words, items.first, set(range(least_words, MIN_WORDS)) & {*sizes.tolist()}):
+            owner = np.searchsorted(items.first, at, side="right") - 1
+            whole = np.flatnonzero(sizes[owner] == size)
+            whole = whole[np.argsort(value[whole], kind="stable")]
+            lookup = _Lookup(value[whole])
+            begin = np.searchsorted(value[whole], lookup.keys)
+            self.known[size] = lookup, owner[whole], begin, np.diff(np.append(begin, len(whole)))
+
+    def find(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, rows, items, end words) of the first place of each item in each row."""
+
+        for size, value, at in sequences(words, first, set(self.known)):
+            lookup, owners, begin, many = self.known[size]
+            found, place = lookup.find(value)
+            row = np.searchsorted(first, at[found], side="right") - 1
+            once = np.unique(place * len(first) + row, return_index=True)[1]
+            row, place, end = row[once], place[once], (at[found] - first[row] + size)[once]
+            own = owners[arrays.ragged(begin[place], many[place])]
+            if len(own):
+                yield size, np.repeat(row, many[place]), own, np.repeat(end, many[place])
+
+
+def _match(items: Items, least_words: int):
+    short = _Whole(items, least_words)
     lookup = _Lookup(items.grams)
     order = np.argsort(items.grams, kind="stable")
     owners, places = items.owners[order], items.places[order]
@@ -173,11 +218,18 @@ def _match(items: Items):
         diagonal = (hit - first[row] - places[seed]) // slack[item]
         return np.unique(np.stack([row, item, diagonal], axis=1), axis=0).T if len(hit) else np.empty((3, 0), np.int64)
 
+    def leaks(ids: pa.Array, own: np.ndarray, score: np.ndarray, aligned: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array([items.ids[i] for i in own], pa.int64()), pa.array(score), pa.array(aligned), pa.array(end)],
+            names=["doc_id", "item_id", "score", "aligned", "end_word"])
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             for start, _, data, offsets in arrays.text_slices(batch.column("text")):
-                words, first = arrays.word_hashes(data, offsets, arrays.MARKS)
+                words, first = arrays.script_word_hashes(data, offsets)
+                for size, row, own, end in short.find(words, first):
+                    yield leaks(ids.take(pa.array(start + row)), own, np.ones(len(own)), np.full(len(own), size), end)
                 rows, item, diagonal = regions(words, first)
                 ranked = np.argsort(sizes[item], kind="stable")
                 rows, item, diagonal = rows[ranked], item[ranked], diagonal[ranked]
@@ -199,18 +251,19 @@ def _match(items: Items):
                     best, ends = align(asked, held)
                     score = best / sizes[own]
                     good = np.flatnonzero((score >= MIN_SCORE) & (best >= MIN_ALIGNED))
-                    yield pa.RecordBatch.from_arrays([
-                        ids.take(pa.array(start + row[good])), pa.array([items.ids[i] for i in own[good]], pa.int64()),
-                        pa.array(score[good]), pa.array(best[good].astype(np.int64)), pa.array((left + ends)[good])],
-                        names=["doc_id", "item_id", "score", "aligned", "end_word"])
+                    yield leaks(ids.take(pa.array(start + row[good])), own[good], score[good],
+                                best[good].astype(np.int64), (left + ends)[good])
 
     return arrays.tidy(match)
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-               item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
+               item_column: str = "item_id", item_text_column: str = "text",
+               least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, item_id, score, aligned, end_word) of the best alignment for each contaminated text and item."""
 
+    if least_words < 1:
+        raise ValueError("least_words must be at least 1")
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.lower(text_column).alias("text"))
     items = benchmark.select(
         F.col(item_column).cast("long").alias("item_id"), F.lower(item_text_column).alias("text")).where("text IS NOT NULL")
@@ -230,7 +283,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc
         held_by = np.array([counts.get(g, 0) for g in held.grams.view(np.int64).tolist()], np.int64)
         seeds = held.select(pick_seeds(held, held_by, n))
         matches = store(
-            texts.mapInArrow(_match(seeds), "doc_id long, item_id long, score double, aligned long, end_word long")
+            texts.mapInArrow(_match(seeds, least_words), "doc_id long, item_id long, score double, aligned long, end_word long")
             .groupBy("doc_id", "item_id")
             .agg(F.max(F.struct("score", "aligned", (-F.col("end_word")).alias("early"))).alias("best"))
             .select("doc_id", "item_id", "best.score", "best.aligned", (-F.col("best.early")).alias("end_word")))

@@ -2,8 +2,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from repograph.llm import decontamination
+from repograph.llm import arrays, decontamination
 
 PICK = random.Random(4)
 WORDS = ["".join(PICK.choices("abcdefghi", k=PICK.randint(2, 7))) for _ in range(400)]
@@ -99,3 +100,40 @@ def test_alignment_counts_gaps():
     b = np.array([[9, 2, 3, 8, 4, 5, 6, 1]], np.uint64)
     best, end = decontamination.align(a, b)
     assert (best[0], end[0]) == (4, 7)
+
+
+def leaks(spark, rows, items, **options):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.find_leaks(docs, asked, **options).collect()
+    return {(r.doc_id, r.item_id): (r.score, r.aligned, r.end_word) for r in found}
+
+
+def test_scripts_without_blanks(spark):
+    zh = "水在标准大气压下加热到一百度时会发生什么变化？请说明理由。"
+    ja = "光合成とは、植物が光のエネルギーを使って糖を作る働きである。"
+    th = "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"
+    edited = zh.replace("大气压", "气压").replace("理由", "原因")
+    rows = [(1, f"前言很长。{zh}后记也很长。"), (2, f"これは序文です。{ja}終わり。"), (3, f"คำนำ {th} จบ"), (4, f"前言，{edited}完"),
+            (5, "今天天气很好，我们一起去公园散步吧。"), (6, "今日は天気がいいから公園に行こう。"), (7, "วันนี้อากาศดีมาก")]
+    found = leaks(spark, rows, [(1, zh), (2, ja), (3, th)])
+    assert set(found) == {(1, 1), (2, 2), (3, 3), (4, 1)}
+    assert all(found[k][0] == 1.0 for k in ((1, 1), (2, 2), (3, 3))) and found[4, 1][0] < 1
+
+
+def test_short_items_match_as_a_whole(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "What is the boiling point of water?"), (3, "谁写了红楼梦"), (4, "who wrote hamlet"), (5, "???")]
+    rows = [(1, "so, who wrote “Hamlet” — who wrote Hamlet?"), (2, "who wrote the play Hamlet"), (3, "what is the boiling point of water"),
+            (4, "问：“谁写了《红楼梦》？”"), (5, "who wrote"), (5, "hamlet"), (6, "what is the boiling point of milk"), (7, "???")]
+    assert leaks(spark, rows, items) == {
+        (1, 1): (1.0, 3, 4), (1, 4): (1.0, 3, 4), (3, 2): (1.0, 7, 7), (4, 3): (1.0, 6, 7)}
+    assert leaks(spark, [(1, "The end."), (2, "the")], [(1, "end"), (2, "the end")], least_words=1) == {
+        (1, 1): (1.0, 1, 2), (1, 2): (1.0, 2, 2)}
+
+
+def test_words_of_all_scripts():
+    text = "don’t «stop» naïve e\u0301 中文abc 한국어 문장 ราคา €5 ☺\ufe0f a_b 𠀀x"
+    words, first = arrays.script_word_hashes(*arrays.column_bytes(pa.array([text, "", "–—", "文"])))
+    split = ["don", "t", "stop", "naïve", "e\u0301", "中", "文", "abc", "한국어", "문장", *"ราคา", "€", "5", "☺", "a", "b", "𠀀", "x"]
+    alone = [arrays.word_hashes(*arrays.column_bytes(pa.array([w])))[0][0] for w in [*split, "文"]]
+    assert words.tolist() == [int(h) for h in alone] and np.diff(first).tolist() == [len(split), 0, 0, 1]
