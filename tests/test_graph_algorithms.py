@@ -167,6 +167,21 @@ def test_linear_and_tree_digests(spark):
     assert not tree & {tuple(r) for r in digest.content_revision(changed).collect()}
 
 
+def test_linear_digest_streams_its_groups(spark):
+    rows = [(k, i % 50, f"{i:04x}") for k in ("a", None, "b") for i in range(300)] + [("c", 1, None), ("d", 2, "zz"), ("d", 3, "00"), ("e", 1, "ab"), ("e", None, "cd"), ("e", 0, None)]
+    table = spark.createDataFrame(rows, "owner string, place int, body string").repartition(5)
+    found = digest.linear_digest(table, ["owner"], ["place"], "body")
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    each = hashlib.sha256(bytes.fromhex("".join(sorted((r[2] for r in rows if r[0] == "a"), key=lambda x: (int(x, 16) % 50, x)))))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.owner: r.digest for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {**dict.fromkeys(("a", "b", None), each.hexdigest()), "c": hashlib.sha256().hexdigest(), "d": None,
+                   "e": hashlib.sha256(bytes.fromhex("cdab")).hexdigest()}
+
+
 def test_new_cycles_compare_member_sets(spark):
     rows = lambda *sets: spark.createDataFrame(
         [("r", "v", min(s), m) for s in sets for m in s], "repository_id string, revision_id string, cycle_id string, member string")
