@@ -21,8 +21,9 @@ from repograph.session import cut
 
 # Ranks compare rounded scores, so exact copies tie whatever the order of summation was.
 RANK_DIGITS = 9
-# Weights of questions that a task holds at once, and documents that are scored at once.
-ASKED_ROWS, SCORED_DOCS, HELD_ROWS = 1 << 20, 512, 1 << 18
+# Weights of questions and best rows that a task holds at once, and documents, scores and products of weights
+# that are worked on at once.
+ASKED_ROWS, HELD_ROWS, SCORED_DOCS, CELLS = 1 << 20, 1 << 18, 512, 1 << 20
 
 
 def _runs(words: Column) -> Column:
@@ -117,19 +118,41 @@ def top_ranked(scores: DataFrame, limit: Column | int, keys: list[str] | None =
 def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows of each question, in the order of :func:`top_ranked`."""
 
-    order = rows.assign(place=-rows["score"].round(RANK_DIGITS)).sort_values(["question_id", "place", "document_id"])
-    return order.groupby("question_id", sort=False).head(k).drop(columns="place")
+    order = rows.assign(place=-rows["score"].round(RANK_DIGITS)).sort_values(["question", "place", "document_id"])
+    return order.groupby("question", sort=False).head(k).drop(columns="place")
 
 
-def _score_documents(asked: pd.DataFrame, k: int):
-    """Cosines of whole documents with all asked questions; each task passes on its k best."""
+def _score_documents(asked: pa.Table, k: int):
+    """Cosines of whole documents with all asked questions; each task passes on its k best.
 
-    tokens, token_no = np.unique(asked["token"].to_numpy(object), return_inverse=True)
-    questions, question_no = np.unique(asked["question_id"].to_numpy(object), return_inverse=True)
-    weights = np.zeros((len(tokens), len(questions)))
+    The questions' weights are kept as postings of each token, and documents are scored in slices of at most
+    ``CELLS`` scores and about as many products, so memory follows the block's rows and never tokens x questions.
+    """
+
+    tokens, ids = (asked[c].combine_chunks().dictionary_encode() for c in ("token", "question_id"))
+    known, questions = tokens.dictionary, ids.dictionary
+    token_no = tokens.indices.to_numpy()
+    order = np.argsort(token_no, kind="stable")
+    begin = np.searchsorted(token_no[order], np.arange(len(known) + 1))
+    many = np.diff(begin)
+    question_no = ids.indices.to_numpy()[order]
     # A document's weight of a token is its share times the token's idf.
-    weights[token_no, question_no] = asked["weight"] * asked["idf"]
-    known = pa.array(tokens, pa.string())
+    weights = (asked["weight"].to_numpy() * asked["idf"].to_numpy())[order]
+    n = len(questions)
+    most = max(1, min(SCORED_DOCS, CELLS // n))
+
+    def scored(rows: np.ndarray, place: np.ndarray, share: np.ndarray, docs: int) -> tuple[np.ndarray, ...]:
+        """(document, question, score) of the likely best of so many documents, given by their terms."""
+
+        each = many[place]
+        ends = np.cumsum(each)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[place] - ends + each, each)
+        scores = np.bincount(
+            np.repeat(rows, each) * n + question_no[at], np.repeat(share, each) * weights[at], docs * n).reshape(docs, n)
+        limit = max(docs - k, 0)
+        least = np.partition(scores, limit, axis=0)[limit] - 10.0**-RANK_DIGITS
+        doc, question = np.nonzero((scores > 0) & (scores >= least))
+        return doc, question, scores[doc, question]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pd.DataFrame] = []
@@ -141,23 +164,27 @@ def _score_documents(asked: pd.DataFrame, k: int):
                 flat = terms.flatten()
                 place = pc.index_in(flat.field("token"), value_set=known)
                 found = place.is_valid().to_numpy(zero_copy_only=False)
-                shares = np.zeros((len(part), len(tokens)))
                 total, norm = (part.column(c).to_numpy() for c in ("total", "doc_norm"))
                 amount = flat.field("amount").to_numpy()[found]
-                rows = rows[found]
-                shares[rows, place.drop_null().to_numpy()] = amount / total[rows] / norm[rows]
-                scores = shares @ weights
-                limit = max(len(part) - k, 0)
-                least = np.partition(scores, limit, axis=0)[limit] - 10.0**-RANK_DIGITS
-                doc, question = np.nonzero((scores > 0) & (scores >= least))
-                held.append(pd.DataFrame({
-                    "question_id": questions[question],
-                    "document_id": part.column("document_id").to_numpy(zero_copy_only=False)[doc],
-                    "score": scores[doc, question]}))
-                if sum(map(len, held)) > HELD_ROWS:
-                    held = [_best(pd.concat(held), k)]
+                rows, place = rows[found], place.drop_null().to_numpy()
+                share = amount / total[rows] / norm[rows]
+                names = part.column("document_id").to_numpy(zero_copy_only=False)
+                first_term = np.searchsorted(rows, np.arange(len(part) + 1))
+                products = np.append(0, np.cumsum(many[place]))[first_term]
+                first = 0
+                while first < len(part):
+                    last = int(np.searchsorted(products, products[first] + CELLS, side="right")) - 1
+                    last = min(max(last, first + 1), first + most, len(part))
+                    own = slice(first_term[first], first_term[last])
+                    doc, question, value = scored(rows[own] - first, place[own], share[own], last - first)
+                    held.append(pd.DataFrame({"question": question, "document_id": names[first + doc], "score": value}))
+                    first = last
+                    if sum(map(len, held)) > 2 * HELD_ROWS:
+                        held = [_best(pd.concat(held), k)]
         if held:
-            yield pa.RecordBatch.from_pandas(_best(pd.concat(held), k), preserve_index=False)
+            best = _best(pd.concat(held), k)
+            best.insert(0, "question_id", questions.take(pa.array(best.pop("question").to_numpy())).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
 
     return score
 
@@ -167,7 +194,8 @@ def tfidf_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 
     A document's words stay in one row, so all of its scores are complete in its task, and only
     the k best of each task and question are shuffled.  The weights of the questions' own words
-    go to the tasks in blocks of a bounded number of rows.
+    go to the tasks in blocks of about ``ASKED_ROWS`` rows, and of so many questions that their k best are about
+    ``HELD_ROWS``; of several blocks, each is done before the driver reads the next.
     """
 
     words = F.sort_array(text.token_bag(F.col("content")))
@@ -183,15 +211,17 @@ def tfidf_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     weight = F.col("amount") / F.col("total") * F.col("idf")
     doc_norms = counts.join(idf, "token").groupBy("document_id").agg(F.sqrt(F.sum(weight * weight)).alias("doc_norm"))
     normed = cut(rows.join(doc_norms, "document_id").select("document_id", "total", "terms", "doc_norm"))
-    blocks = 1 + asked.count() // ASKED_ROWS
+    size = asked.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("question_id").alias("questions")).head()
+    blocks = 1 + max(size["rows"] // ASKED_ROWS, size["questions"] * k // HELD_ROWS)
     block = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
     kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema.fields, *normed.schema.fields]}
     schema = f"question_id {kinds['question_id']}, document_id {kinds['document_id']}, score double"
     found = None
     for number in range(blocks):
-        part = asked.where(block == number).toPandas()
+        part = asked.where(block == number).toArrow()
         if len(part):
             scored = normed.mapInArrow(_score_documents(part, k), schema)
+            scored = cut(scored) if blocks > 1 else scored
             found = scored if found is None else found.unionByName(scored)
     if found is None:
         found = asked.select("question_id").join(normed.select("document_id"), F.lit(False)).withColumn("score", F.lit(0.0))

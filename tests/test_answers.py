@@ -1,10 +1,13 @@
 """Budgets, flows and views against plain loops."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from repograph.operators import answer, paths, views
+from repograph.operators import answer, paths, retrieval, views
 from repograph.functions import envelope
 from repograph import constants as K
 from tests.test_graph_algorithms import bfs
@@ -178,3 +181,36 @@ def test_unproven_relation_stays_unknown(spark):
     assert [(r.id, r.quality) for r in view["edges"].collect()] == [("e1", "unknown")]
     assert view["omitted"].first().omitted_hops == 1
     assert spark.range(1).select(envelope.is_exact_envelope(F.lit("[1]")).alias("x")).first().x is False
+
+
+def test_tfidf_memory_follows_postings():
+    questions, words = 20_000, 40_000
+    asked = pa.table({
+        "question_id": [f"q{i:05d}" for i in range(questions)] * 2, "token": [f"w{i}" for i in range(words)],
+        "idf": np.ones(words), "weight": np.full(words, 0.5)})
+    terms = [[{"token": f"w{i}", "amount": 1}, {"token": "other", "amount": 1}] for i in range(0, 400, 2)]
+    docs = pa.RecordBatch.from_pydict({
+        "document_id": [f"d{i:03d}" for i in range(200)], "total": [2] * 200, "terms": terms, "doc_norm": np.ones(200)})
+    tracemalloc.start()
+    try:
+        found = pa.Table.from_batches(retrieval._score_documents(asked, 3)(iter([docs]))).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100 << 20
+    assert [tuple(r.values()) for r in found] == [(f"q{2 * i:05d}", f"d{i:03d}", 0.25) for i in range(200)]
+
+
+def test_tfidf_blocks_equal_the_joins(spark, monkeypatch):
+    pick = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame(
+        [(f"d{i:03d}", " ".join(pick.choices(words, k=pick.randint(0, 30)))) for i in range(150)], "document_id string, content string")
+    questions = spark.createDataFrame(
+        [(f"q{i:02d}", " ".join(pick.choices(words, k=pick.randint(1, 8)))) for i in range(25)], "question_id string, question string")
+    rows = lambda df: sorted((r.question_id, r.rank, r.document_id, round(r.score, 9)) for r in df.collect())
+    expected = rows(retrieval.top_ranked(retrieval.tfidf_scores(docs, questions), 4))
+    assert rows(retrieval.tfidf_top(docs, questions, 4)) == expected
+    for name, value in {"ASKED_ROWS": 100, "HELD_ROWS": 40, "CELLS": 50}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    assert rows(retrieval.tfidf_top(docs, questions, 4)) == expected
