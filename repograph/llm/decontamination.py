@@ -265,8 +265,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc
     if least_words < 1:
         raise ValueError("least_words must be at least 1")
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.lower(text_column).alias("text"))
-    items = benchmark.select(
-        F.col(item_column).cast("long").alias("item_id"), F.lower(item_text_column).alias("text")).where("text IS NOT NULL")
+    items = store(benchmark.select(
+        F.col(item_column).cast("long").alias("item_id"), F.lower(item_text_column).alias("text")
+    ).where("text IS NOT NULL").distinct())
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repograph.llm import arrays
-from repograph.llm.learning import adam, bounded_sample, held_out, sigmoid
+from repograph.llm.learning import adam, bounded_sample, held_out, one_row_each, sigmoid
 
 FEATURES = 1 << 12
 PER_LANGUAGE, SAMPLE = 300, 4000
@@ -142,8 +142,8 @@ def learn(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     ).where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     n = max(known.select("label").distinct().count(), 1)
     sample = bounded_sample(known, min(PER_LANGUAGE, max(1, SAMPLE // n)))
-    rows = known.join(sample, ["id", "label"], "left_semi").where("text IS NOT NULL").select("label", "text").mapInArrow(
-        _describe, "label string, x binary").collect()
+    sampled = known.join(sample, ["id", "label"], "left_semi").where("text IS NOT NULL")
+    rows = one_row_each(sampled).mapInArrow(_describe, "label string, x binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["x"])))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), FEATURES)
     return fit(x, [r["label"] for r in rows])

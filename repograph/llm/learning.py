@@ -31,6 +31,16 @@ def bounded_sample(labelled: DataFrame, per_label: int) -> DataFrame:
         .where(F.col("place") <= per_label).select("id", "label"))
 
 
+def one_row_each(rows: DataFrame) -> DataFrame:
+    """One (label, text) of each (id, label), whatever number of rows share the id: the text with the smallest hash.
+
+    Every task passes on one row of each, so what is collected of a sample is bounded like its ids.
+    """
+
+    order = F.struct(F.col("text").isNull(), F.xxhash64("text"))
+    return rows.groupBy("id", "label").agg(F.min_by("text", order).alias("text")).select("label", "text")
+
+
 def adam(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, rounds: int, rate: float) -> np.ndarray:
     w, m, v = start.copy(), np.zeros_like(start), np.zeros_like(start)
     for t in range(1, rounds + 1):

@@ -137,3 +137,10 @@ def test_words_of_all_scripts():
     split = ["don", "t", "stop", "naïve", "e\u0301", "中", "文", "abc", "한국어", "문장", *"ราคา", "€", "5", "☺", "a", "b", "𠀀", "x"]
     alone = [arrays.word_hashes(*arrays.column_bytes(pa.array([w])))[0][0] for w in [*split, "文"]]
     assert words.tolist() == [int(h) for h in alone] and np.diff(first).tolist() == [len(split), 0, 0, 1]
+
+
+def test_repeated_items_are_read_once(spark, monkeypatch):
+    read, seen = decontamination.read_items, []
+    monkeypatch.setattr(decontamination, "read_items", lambda rows: seen.append(len(rows)) or read(rows))
+    assert set(leaks(spark, [(1, ITEMS[0][1])], [ITEMS[0]] * 500 + [(99, ITEMS[0][1])])) == {(1, 0), (1, 99)}
+    assert seen == [2]

@@ -111,3 +111,17 @@ def test_raw_scores_at_the_threshold_pass():
     x = np.zeros((3, quality.FEATURES), np.float32)
     x[:, 0] = [1, np.nextafter(np.float32(1), np.float32(0)), 2]
     assert list(model.score(x) >= quality.CUT) == [True, False, True]
+
+
+def test_samples_have_one_row_of_an_id(spark, monkeypatch):
+    texts = [(d, t, lang) for d, t, lang, _ in corpus(40)]
+    repeated = next(d for d in range(40) if not spark.range(d, d + 1).select(held_out(F.col("id"))).head()[0])
+    texts += [(repeated, f"{texts[repeated][1]} {i}", texts[repeated][2]) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    learnt = docs.where(~held_out(F.col("doc_id"))).select("doc_id").distinct().count()
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda x, labels: seen.append(len(x)))
+    monkeypatch.setattr(quality, "fit", lambda x, good, totals: seen.append(len(x)))
+    language.learn(docs)
+    quality.learn(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    assert seen == [learnt, learnt]
