@@ -1,16 +1,16 @@
-"""Repeated passages by a depth-limited radix sort of suffixes.
+"""Repeated passages by hash grouping at winnowed anchors.
 
-Two texts share a string of ``length`` bytes exactly if two suffixes agree on their first ``length``
-bytes, so suffixes are ordered by their first ``length`` bytes only, most significant digit first,
-and dropped as soon as their group has no other document.
+Two texts share a string of ``length`` bytes exactly if two windows of ``length`` bytes are equal.  Only
+equality matters, so windows are grouped by 64-bit hashes and no suffixes are ordered by their bytes;
+windows are dropped as soon as their group has no other document.
 
-* The suffixes that take part start at anchors: in every window of ``length`` bytes the smallest hash
+* The windows that take part are those around anchors: in every window of ``length`` bytes the smallest hash
   of ``DIGIT`` bytes.  Equal windows have equal anchors, so nothing repeated is missed.
-* Pass 0 counts the anchors of each leading digit.
-* Pass 1 deals anchors to buckets by digit, sorts each bucket by (digit, surrounding bytes) and keeps
+* Pass 0 counts the anchors of each digit, which is the anchor's hash modulo ``DIGITS``.
+* Pass 1 deals anchors to buckets by digit, groups each bucket by hashes of (anchor, surrounding bytes) and keeps
   the groups with several documents.  An anchor whose whole surroundings stand in a smaller document is
   settled there and then; of the others only the smallest document of each group goes on.
-* Pass 2 sorts what is left by the full windows around the anchor; equal groups are the repeated windows.
+* Pass 2 groups what is left by hashes of the full windows around the anchor; equal groups are the repeated windows.
 
 A digit with far more than its share of anchors (a line that a third of the texts hold) skips the
 buckets: its windows are grouped as rows, with partial aggregation before the shuffle.  Within a task
