@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from repograph.llm import (
     chat,
+    clusters,
     decontamination,
     embeddings,
     language,
+    lines,
     near_dup,
     packing,
+    phrases,
     quality,
     repeats,
     sharding,
@@ -84,6 +87,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), F.col("doc_id"), F.octet_length("text"), SHARD_BYTES, ["doc_id"])
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("record.doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = """
 WITH parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
@@ -210,6 +226,96 @@ placed AS (
 SELECT doc_id, shard, depth, n_bytes, n_bytes > {SHARD_BYTES} AS oversized FROM placed WHERE place = 1
 """
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP11_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+said AS MATERIALIZED (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+one AS MATERIALIZED (SELECT lang, w1, count(*) AS f FROM (SELECT lang, unnest(w) AS w1 FROM said) GROUP BY ALL),
+two AS MATERIALIZED (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM said) GROUP BY ALL),
+three AS MATERIALIZED (
+  SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, count(*) AS f
+  FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM said) GROUP BY ALL HAVING count(*) >= 10),
+longest AS (
+  SELECT lang, w1, w2, max(f) AS f
+  FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL),
+cuts AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM two t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1 JOIN one y ON y.lang = t.lang AND y.w1 = t.w2
+    LEFT JOIN longest n ON n.lang = t.lang AND n.w1 = t.w1 AND n.w2 = t.w2
+  WHERE t.f >= 10 AND 100 * coalesce(n.f, 0) < 50 * t.f
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 1, x.f, y.f
+  FROM three t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1
+    JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 2, x.f, y.f
+  FROM three t JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2
+    JOIN one y ON y.lang = t.lang AND y.w1 = t.w3),
+scored AS (
+  SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+OP12_SQL = f"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS MATERIALIZED (
+  SELECT doc_id, i, line,
+    translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key
+  FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM parts)),
+shared AS (
+  SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (
+  SELECT doc_id, i, line, coalesce(doc_id <> keeper, false) AS dropped FROM lines LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count_if(dropped)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+def _rounds(n: int) -> str:
+    """Rounds of assignment and means."""
+
+    return "".join(f"""
+near{i} AS MATERIALIZED (
+  SELECT k.vec_id, any_value(k.v) AS v, min({{'d': list_sum(list_transform(list_zip(k.v, c.v),
+      lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': c.c}}) AS best
+  FROM kept k, centroids{i} c GROUP BY k.vec_id),
+sums{i} AS (
+  SELECT c, place, sum(x)::HUGEINT AS s, count(*) AS n
+  FROM (SELECT best.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM near{i}) GROUP BY c, place),
+centroids{i + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(m.v, o.v) AS v FROM centroids{i} o LEFT JOIN (
+    SELECT c, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY place) AS v FROM sums{i} GROUP BY c) m USING (c)),"""
+                   for i in range(n))
+
+
+OP13_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+centroids0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id)) <= 8),{_rounds(11)}
+ended AS (SELECT vec_id, best.c AS cluster, best.d AS distance FROM near10)
+SELECT vec_id, cluster::INTEGER AS cluster, distance,
+  sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM ended JOIN centroids10 c ON c.c = cluster
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontamination": op2_decontamination,
@@ -221,6 +327,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_phrases": op11_phrases,
+    "op12_lines": op12_lines,
+    "op13_clusters": op13_clusters,
 }
 SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
@@ -229,4 +338,7 @@ SQL: dict[str, str] = {
     "op7_near_dup": OP7_SQL,
     "op8_repeats": OP8_SQL,
     "op10_sharding": OP10_SQL,
+    "op11_phrases": OP11_SQL,
+    "op12_lines": OP12_SQL,
+    "op13_clusters": OP13_SQL,
 }
