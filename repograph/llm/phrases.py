@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from repograph.llm import arrays
 from repograph.llm.tables import store
 
-SLICE_BYTES = 10 << 20
+SLICE_BYTES = 6 << 20
 #: Bytes of text whose edges make one bucket.
 BUCKET_BYTES = 12 << 20
 #: Words with a larger share than one in so many may make hot nodes; at most so many are listed.
@@ -78,16 +78,17 @@ def _words(langs: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, li
     if not len(starts):
         return np.empty(0, np.int64), np.empty(0, np.int64), []
     row = arrays.row_numbers(first)
-    marks = np.cumsum(_MARK[data], dtype=np.int64)
+    marks = np.searchsorted(np.flatnonzero(_MARK[data]), starts)
     fresh = np.ones(len(starts), bool)
-    fresh[1:] = (row[1:] != row[:-1]) | (marks[starts[1:]] != marks[stops[:-1] - 1])
+    fresh[1:] = (row[1:] != row[:-1]) | (marks[1:] != marks[:-1])
+    del row, marks
     bounds = np.append(0, np.cumsum(stops - starts))
     said = pa.Array.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[~_BETWEEN[data]])]
     ).dictionary_encode()
     tongues = langs.dictionary_encode()
     n = len(said.dictionary)
-    codes = tongues.indices.to_numpy().astype(np.int64)[row] * n + said.indices.to_numpy()
+    codes = tongues.indices.to_numpy().astype(np.int64)[arrays.row_numbers(first)] * n + said.indices.to_numpy()
     distinct, codes = np.unique(codes, return_inverse=True)
     names, texts_of = tongues.dictionary.to_pylist(), said.dictionary.to_pylist()
     held = [(names[lang], texts_of[word]) for lang, word in zip(*(x.tolist() for x in divmod(distinct, n)), strict=True)]
