@@ -220,7 +220,7 @@ def graph(docs: DataFrame, words: DataFrame, seeds: Seeds, least: int, bits: int
     found = store(
         docs.select("lang", "text").mapInArrow(
             _dealt(bits, seeds, buckets, hot), "bucket int, words binary, edges binary, counts binary")
-        .groupBy("bucket").applyInArrow(_merged(hot, least), "kind int, h1 long, h2 long, h3 long, n long"), ["kind"])
+        .repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merged(hot, least), "kind int, h1 long, h2 long, h3 long, n long"), ["kind"])
     edges = found.where("kind = 3").select("h1", "h2", "h3", "n")
     nodes = found.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     flows = found.where("kind = 1").groupBy(F.col("h1").alias("h")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
