@@ -2,13 +2,15 @@
 
 A batch is cut into slices of about ``SLICE_BYTES``; a longer text is a slice of its own.  Memory in a
 task is some sixty bytes for each byte of a slice, so it follows the longest text, not the data.
-Hashes are 64-bit polynomial prefix sums with a final mix.
+Strings are hashed by blocks of eight bytes, each mixed in.  Windows of one short width have polynomial
+prefix sums with a final mix; longer strings must not, as some of 1024 bytes and more collide for every base.
 """
 
 from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 import inspect
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -33,6 +35,9 @@ UNSPACED = (
     (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x303C), (0x3040, 0x312F), (0x31A0, 0x9FFF),
     (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x11700, 0x1174F),
     (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF))
+# Strings up to so many bytes are hashed by blocks, longer ones by a digest.
+SHORT = 64
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
@@ -100,11 +105,31 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 
 def range_hashes(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Hashes of the byte ranges; equal strings have equal hashes wherever they stand."""
+    """Hashes of short byte ranges; equal strings have equal hashes wherever they stand."""
 
     return mix((sums[stops] - sums[starts]) * powers(len(sums))[1][starts])
 
 
+def string_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges of any length."""
+
+    lengths = stops - starts
+    found = mix(lengths.astype(np.uint64) + BASE)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    left = np.flatnonzero((lengths > 0) & (lengths <= SHORT))
+    at, rest = starts[left], lengths[left]
+    while len(left):
+        found[left] = joined(found[left], eight[at] & _KEPT[np.minimum(rest, 8)])
+        on = rest > 8
+        left, at, rest = left[on], at[on] + 8, rest[on] - 8
+    for i in np.flatnonzero(lengths > SHORT).tolist():
+        digest = hashlib.blake2b(data[starts[i]:stops[i]], digest_size=8).digest()
+        found[i] = int.from_bytes(digest, "little")
+    return found
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
@@ -140,7 +165,7 @@ def word_hashes(
 
     data = lowered(data)
     starts, stops, first = word_bounds(data, offsets, between)
-    return range_hashes(prefix_sums(data), starts, stops), first
+    return string_hashes(data, starts, stops), first
 
 
 @functools.cache
@@ -184,7 +209,7 @@ def script_word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
         own = kind == 2
         breaks = np.concatenate([at[own], np.minimum(at + size, len(data))[own]])
     starts, stops, first = _bounds(space, offsets, breaks)
-    return range_hashes(prefix_sums(data), starts, stops), first
+    return string_hashes(data, starts, stops), first
 
 
 def row_numbers(first: np.ndarray) -> np.ndarray:

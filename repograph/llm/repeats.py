@@ -356,7 +356,7 @@ def repeated_spans(documents: DataFrame, length: int = 50, id_column: str = "doc
             _deal_anchors(length, buckets, np.array(heavy, np.int64)),
             DEALT)
         .groupBy("bucket").applyInArrow(arrays.tidy(_sort_bucket), SPANS))
-    opened = first.where("open").groupBy("doc", "row", "heavy").agg(F.collect_list("start").alias("at"))
+    opened = first.where("open").groupBy("doc", "row", "heavy").agg(F.collect_set("start").alias("at"))
     around = store(
         opened.join(long_enough.dropDuplicates(["doc", "row"]), ["doc", "row"])
         .select("doc", "row", "at", "text", "heavy").mapInArrow(_surroundings(length, buckets), AROUND))
@@ -365,7 +365,7 @@ def repeated_spans(documents: DataFrame, length: int = 50, id_column: str = "doc
         "bucket").applyInArrow(_sort_heavy(length), SPANS)
     spans = first.where("NOT open").unionByName(second).unionByName(third)
     return store(spans.groupBy("doc", "row").agg(
-        F.collect_list(F.struct("start", "stop")).alias("spans")))
+        F.collect_set(F.struct("start", "stop")).alias("spans")))
 
 
 MEASURES = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -80,7 +80,7 @@ class TextEncoder:
         return Tokenizer.from_file(self.path)
 
     def _forget(self) -> None:
-        self.keys = np.empty(0, np.uint64)
+        self.known: dict[bytes, int] = {}
         self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
 
@@ -98,7 +98,8 @@ class TextEncoder:
             ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
         return np.concatenate(ids), np.array(lengths, np.int64)
 
-    def _learn(self, keys: np.ndarray, texts: list[str], whole: list[bool]) -> None:
+    def _learn(self, chunks: list[bytes], whole: list[bool]) -> None:
+        texts = [c.decode() for c in chunks]
         ids, lengths = self._encode(texts)
         if any(whole):
             # Texts that special tokens or other white space keep in one piece.
@@ -106,13 +107,10 @@ class TextEncoder:
             for i in np.flatnonzero(whole):
                 parts[i], lengths[i:i + 1] = self._encode_whole([texts[i]])
             ids = np.concatenate(parts)
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
+        self.known |= zip(chunks, range(len(self.starts), len(self.starts) + len(chunks)), strict=True)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, ids])
-        merged = np.concatenate([self.keys, keys])
-        order = np.argsort(merged, kind="stable")
-        self.keys = merged[order]
-        self.starts = np.concatenate([self.starts, starts])[order]
-        self.lengths = np.concatenate([self.lengths, lengths])[order]
 
     def _whole_rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows that cannot be cut into chunks."""
@@ -142,22 +140,19 @@ class TextEncoder:
             begins[offsets[row]] = True
         starts = np.flatnonzero(begins)
         stops = np.append(starts[1:], len(data))
-        keys = arrays.range_hashes(arrays.prefix_sums(data), starts, stops)
-        distinct, sample, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHED:
+        # Chunks are told apart by their bytes.
+        found = pa.Array.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]
+        ).dictionary_encode()
+        inverse, distinct = found.indices.to_numpy(), found.dictionary.to_pylist()
+        if len(self.known) > CACHED:
             self._forget()
-        place = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == distinct[inside]
-        if not known.all():
-            held = data.tobytes()
-            new = sample[~known]
-            self._learn(
-                distinct[~known],
-                [held[a:b].decode() for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)],
-                np.isin(starts[new], offsets[whole]).tolist())
-            place = np.searchsorted(self.keys, distinct)
+        new = [i for i, chunk in enumerate(distinct) if chunk not in self.known]
+        if new:
+            sample = np.empty(len(distinct), np.int64)
+            sample[inverse[::-1]] = starts[::-1]
+            self._learn([distinct[i] for i in new], np.isin(sample[new], offsets[whole]).tolist())
+        place = np.fromiter((self.known[chunk] for chunk in distinct), np.int64, len(distinct))
         lengths = self.lengths[place][inverse]
         ids = self.ids[arrays.ragged(self.starts[place][inverse], lengths)]
         ends = np.append(0, np.cumsum(lengths))
