@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from repograph import schemas
 from repograph.operators.digest import graph_hash
-from repograph.session import KEYS
+from repograph.session import KEYS, cut
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, root: str) -> None:
     """Put revisions into the stored graph: tables partitioned by repository and revision.
 
-    A revision that is written again replaces itself.  The integrity hash is written last, so a
-    revision without one, or with one that differs, is not complete.
+    A revision that is written again replaces itself, also where it has no edges or no nodes any more.  Its
+    integrity hash goes first and is written last, so a revision without one, or with one that differs, is not complete.
     """
 
-    for name, table in (("nodes", nodes), ("edges", edges), ("hashes", graph_hash(nodes, edges))):
+    spark = nodes.sparkSession
+    hashes = cut(graph_hash(nodes, edges))
+    # One row for each revision of the call.
+    for row in hashes.select(*KEYS).toLocalIterator():
+        _delete_revision(spark, f"{root}/hashes", row)
+    for name, table in (("nodes", nodes), ("edges", edges)):
+        empty = hashes.select(*KEYS).join(table.select(*KEYS).distinct(), KEYS, "left_anti")
+        for row in empty.toLocalIterator():
+            _delete_revision(spark, f"{root}/{name}", row)
+    for name, table in (("nodes", nodes), ("edges", edges), ("hashes", hashes)):
         table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             *KEYS).parquet(f"{root}/{name}")
 
 
+def _delete_revision(spark: SparkSession, table: str, row: Row) -> None:
+    parts = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    folder = spark._jvm.org.apache.hadoop.fs.Path("/".join([table, *(parts.getPartitionPathString(k, row[k]) for k in KEYS)]))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_graph(
     spark: SparkSession, root: str, repository_id: str | None = None, revision_id: str | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -137,5 +137,32 @@ def test_same_graph_for_any_partitioning(spark, graph):
 
 
 def test_known_facts_are_not_parsed_again(spark, graph):
-    again = index.index_files(table(spark, TREES), known_facts=graph["facts"])
+    again = index.index_files(table(spark, TREES), known=graph["said"])
+    assert again["new"].count() == 0
     assert {r.id for r in again["edges"].collect()} == {r.id for r in graph["edges"].collect()}
+    assert sorted(map(tuple, again["facts"].collect()), key=repr) == sorted(map(tuple, graph["facts"].collect()), key=repr)
+    assert {r.message for r in again["diagnostics"].collect()} == {"broken.py:1: syntax error"}
+
+
+def test_changed_files_do_not_keep_old_facts(spark, graph):
+    trees = {
+        "evaluation-fixture": {**EVAL, "eval_app/store.py": "def load_other(user: str) -> bool:\n    return True\n"},
+        "fork": EVAL,
+        "moved": {"scope/__init__.py": TREES["scope"]["target.py"], "target/__init__.py": TREES["scope"]["target.py"]},
+    }
+    again = index.index_files(table(spark, trees), known=graph["said"])
+    parsed = {(r.module_key, r.fact) for r in again["new"].collect()}
+    # The changed file, and a copy under a module name of its own; the same module in another repository or file is known.
+    assert {m for m, _ in parsed} == {"eval_app.store", "scope"}
+    names = lambda repo: {r.name for r in again["facts"].where((F.col("repository_id") == repo) & (F.col("path") == "eval_app/store.py")).collect() if r.name}
+    assert "load_other" in names("evaluation-fixture") and "load_policy" not in names("evaluation-fixture")
+    assert "load_policy" in names("fork")
+    alone = index.index_files(table(spark, trees))
+    for name in ("nodes", "edges", "facts"):
+        assert sorted(map(repr, again[name].collect())) == sorted(map(repr, alone[name].collect()))
+
+
+def test_manifests_that_are_not_read_are_listed(spark):
+    found = index.index_files(table(spark, {"big": {"a.py": "x = 1\n", "Procfile": "web: a.py\n"}}).withColumn(
+        "content", F.when(F.col("path") == "Procfile", F.rpad("content", 1_000_001, F.lit(b" "))).otherwise(F.col("content"))))
+    assert [r.message for r in found["diagnostics"].collect()] == ["Procfile: manifest of 1000001 bytes is not read"]

@@ -189,3 +189,54 @@ def test_new_cycles_compare_member_sets(spark):
     after = rows("ab", "cd", "xyz", "mn")
     assert {r.cycle_id for r in scc.new_cycles(before, after).collect()} == {"c", "x", "m"}
     assert KEYS == ["repository_id", "revision_id"]
+
+
+def _random_graph(seed, nodes, edges):
+    pick = random.Random(seed)
+    rows = [(f"n{pick.randrange(nodes):04d}", f"n{pick.randrange(nodes):04d}") for _ in range(edges)]
+    # Chains, a ring, a chain back to its head, two ways between the same nodes.
+    rows += [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)] + [("c060", "n0001"), ("n0001", "c000")]
+    rows += [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)]
+    rows += [("n0002", "x1"), ("x1", "x2"), ("x2", "n0002"), ("n0003", "y1"), ("y1", "n0004"), ("n0003", "z1"), ("z1", "n0004")]
+    rows += [("t0", "t1"), ("t1", "t2"), ("t2", "t3"), ("l1", "l2"), ("l2", "l1"), ("l1", "l3"), ("l3", "l1")]
+    return rows
+
+
+def _expected(rows):
+    import numpy as np
+
+    names = sorted({x for r in rows for x in r})
+    number = {n: i for i, n in enumerate(names)}
+    reach = np.eye(len(names), dtype=bool)
+    for a, b in rows:
+        reach[number[a], number[b]] = True
+    for k in range(len(names)):
+        reach |= reach[:, k:k + 1] & reach[k]
+    both = reach & reach.T
+    return {(names[int(np.argmax(both[i]))], names[i]) for i in range(len(names)) if both[i].sum() > 1}
+
+
+def test_cycles_of_graphs_that_fit_no_task(spark, monkeypatch):
+    rows = _random_graph(3, 120, 150)
+    table = spark.createDataFrame(
+        [("r", rev, a, b, "CALLS", "exact") for rev in ("v1", "v2") for a, b in (rows if rev == "v1" else rows[:100])],
+        "repository_id string, revision_id string, source_id string, target_id string, predicate string, quality string")
+    want = {("v1", *x) for x in _expected(rows)} | {("v2", *x) for x in _expected(rows[:100])}
+    for size in (500_000, 40, 5, 1):
+        monkeypatch.setattr(scc, "BLOCK_EDGES", size)
+        assert {(r.revision_id, r.cycle_id, r.member) for r in scc.cycles(table).collect()} == want
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rows = spark.range(100_000).selectExpr(
+        "'r' AS repository_id", "'v' AS revision_id", "format_string('n%06d', id) AS source_id",
+        "format_string('n%06d', IF(id = 99999, 10, id + 1)) AS target_id", "'CALLS' AS predicate", "'exact' AS quality")
+    for size in (500_000, 1000):
+        monkeypatch.setattr(scc, "BLOCK_EDGES", size)
+        rounds = []
+        monkeypatch.setattr(scc, "cut", lambda df, keep=scc.cut: rounds.append(1) or keep(df))
+        found = scc.cycles(rows).agg(F.count("member"), F.countDistinct("cycle_id"), F.min("cycle_id")).head()
+        assert tuple(found) == (99_990, 1, "n000010")
+        # Doublings, and a fixed number of other tables.
+        assert len(rounds) <= 20 + 17
+        monkeypatch.undo()

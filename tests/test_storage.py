@@ -62,6 +62,16 @@ def test_a_revision_written_again_replaces_itself(spark, tmp_path):
     assert spark.read.parquet(f"{root}/hashes").count() == 2
 
 
+def test_a_revision_written_again_without_edges_keeps_none(spark, tmp_path):
+    nodes = spark.createDataFrame([("r:1/a", v, n) for v in ("v1", "v2") for n in "ab"], "repository_id string, revision_id string, id string")
+    edges = spark.createDataFrame([("r:1/a", v, f"e{v}", "a", "b", "CALLS", "exact") for v in ("v1", "v2")], EDGE)
+    root = str(tmp_path / "graph")
+    graph.write_graph(nodes, edges, root)
+    graph.write_graph(nodes.where("revision_id = 'v1'"), edges.limit(0), root)
+    assert [(r.repository_id, r.revision_id) for r in spark.read.parquet(f"{root}/edges").collect()] == [("r:1/a", "v2")]
+    assert spark.read.parquet(f"{root}/nodes").count() == 4 and spark.read.parquet(f"{root}/hashes").count() == 2
+
+
 def test_dockerfile_instructions():
     source = "FROM x\n# CMD no \\\nCMD [\"python\", \\\n  \"a.py\"]\nRUN b \\\n  CMD c\nENTRYPOINT sh \\  \n -c d.py\ncmd [bad\nCMD 'open"
     assert list(entrypoints.dockerfile_references(source)) == [
