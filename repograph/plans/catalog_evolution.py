@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from repograph import constants as K
-from repograph.operators import cards, diff, evolution, lens, publish, validate
+from repograph.operators import cards, diff, evolution, lens, publish, snapshots, validate
 from repograph.plans import fixtures
 from repograph.plans.catalog import register
 from repograph.plans.catalog_graph import (
@@ -18,7 +20,7 @@ from repograph.plans.catalog_graph import (
     RENAMES,
 )
 from repograph.plans.oracle import sid
-from repograph.session import cut
+from repograph.session import KEYS, cut, run_folder
 
 
 def _json(an="", ar="", bn="", br="", kind="kind") -> str:
@@ -322,6 +324,33 @@ def publish_apply(spark, sf_dir):
     return snapshot.select("source_id", "content_hash")
 
 
+@register(
+    "publish_buckets",
+    f"""{PLAN}, dealt AS (SELECT *, ('0x' || substr(md5('docs' || chr(10) || source_id), 1, 2))::INTEGER AS bucket FROM plan)
+    SELECT bucket, count(*) FILTER (action <> 'removed') AS n_cards, count(*) FILTER (action = 'added') AS added,
+      count(*) FILTER (action = 'replaced') AS replaced, count(*) FILTER (action = 'removed') AS removed,
+      count(*) FILTER (action <> 'unchanged') > 0 AS written
+    FROM dealt GROUP BY bucket""",
+)
+def publish_buckets(spark, sf_dir):
+    """Two versions of a store: which buckets the second wrote, and what they hold by its manifest."""
+
+    root = f"{run_folder(spark)}/published-{uuid.uuid4().hex}"
+    done = []
+    for revision in ("before", "after"):
+        held = cut(fixtures.published_cards(spark, sf_dir, revision).withColumn("revision_id", F.lit("before")))
+        stored = held.select(*KEYS, "source_id", "content").join(cards.card_hash(held), [*KEYS, "source_id"])
+        done.append(snapshots.publish(spark, root, stored))
+    (first, _), (second, planned) = done
+    old = snapshots.manifest(spark, root, first).select("bucket", F.col("file_set").alias("old_set"))
+    counts = planned.groupBy("bucket").agg(*[
+        F.count_if(F.col("action") == action).alias(action) for action in ("added", "replaced", "removed")])
+    return (
+        snapshots.manifest(spark, root, second).join(old, "bucket", "left").join(counts, "bucket")
+        .select("bucket", "n_cards", "added", "replaced", "removed",
+                (~F.col("file_set").eqNullSafe(F.col("old_set"))).alias("written")))
+
+
 @register(
     "snapshot_check",
     f"""{PLAN} SELECT source_id, CASE action WHEN 'added' THEN 'not_published'

@@ -384,6 +384,49 @@ def new_cycles(spark, sf_dir):
     return scc.new_cycles(scc.cycles(before), scc.cycles(edges))
 
 
+WARNED = (
+    _steps("event_id % 4 <> 0").replace("steps", "old_steps").replace("reach", "old_reach").replace("mutual", "old_mutual")
+    + ", " + _steps("event_id % 9 <> 0 AND event_id % 5 <> 0").replace("WITH RECURSIVE ", ""))
+
+
+@register(
+    "structural_warnings",
+    f"""{WARNED},
+    old_sets AS (SELECT repository_id, string_agg(member, ',' ORDER BY member) AS members
+      FROM old_mutual GROUP BY repository_id, cycle_id),
+    new_sets AS (SELECT repository_id, cycle_id, string_agg(member, ',' ORDER BY member) AS members
+      FROM mutual GROUP BY repository_id, cycle_id),
+    fresh AS (SELECT repository_id, count(*) AS amount FROM new_sets
+      WHERE (repository_id, members) NOT IN (SELECT (repository_id, members) FROM old_sets) GROUP BY 1),
+    tests AS (SELECT event_id, 'day-' || strftime(ts, '%Y-%m-%d') AS repository_id, '' || user_id AS source,
+        json_extract_string(props, '$.k') AS target, event_id % 4 <> 0 AS old,
+        event_id % 9 <> 0 AS kept, event_id % 5 = 0 AS doubtful
+      FROM events WHERE event_type = 'view' AND '' || user_id <> json_extract_string(props, '$.k')),
+    gone AS (SELECT * FROM tests WHERE old AND (NOT kept OR doubtful)),
+    come AS (SELECT repository_id, source, target, arg_max(doubtful, printf('%012d', event_id) || if(doubtful, 'i', '')) AS doubtful
+      FROM tests WHERE kept AND (NOT old OR doubtful) GROUP BY ALL),
+    last_gone AS (SELECT repository_id, source, target, max(event_id) AS event_id FROM gone GROUP BY ALL),
+    doubted AS (SELECT event_id FROM last_gone JOIN come USING (repository_id, source, target) WHERE come.doubtful),
+    lost AS (SELECT repository_id, count(*) AS amount FROM gone
+      WHERE event_id NOT IN (SELECT event_id FROM doubted) GROUP BY 1)
+    SELECT repository_id, amount || ' exact TESTS relation(s) were removed.' AS warning, amount FROM lost
+    UNION ALL SELECT repository_id, amount || ' new exact dependency cycle(s) were introduced.', amount FROM fresh""",
+)
+def structural_warnings(spark, sf_dir):
+    """Two revisions of the event graph: some edges go, some come, some are no longer exact."""
+
+    edges = fixtures.transitions(spark, sf_dir).withColumns({
+        "predicate": F.when(F.col("predicate") == "REFERENCES", "TESTS").otherwise(F.col("predicate")),
+        "evidence": F.array(F.struct("id"))})
+    doubtful = F.col("event_id") % 5 == 0
+    before = cut(edges.where("event_id % 4 <> 0"))
+    after = cut(edges.where("event_id % 9 <> 0").withColumns({
+        "id": F.when(doubtful, F.concat("id", F.lit("i"))).otherwise(F.col("id")),
+        "quality": F.when(doubtful, "inferred").otherwise(F.col("quality"))}))
+    changes = cut(diff.edge_changes(before, after))
+    return diff.structural_warnings(changes, diff.quality_changes(changes), before, after)
+
+
 # --- digests --------------------------------------------------------------------------------
 
 FILES = """WITH files AS (SELECT source AS repository_id, source || '/' || doc_id || '.txt' AS path,
