@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,10 @@ from repograph.session import cut
 
 # Ranks compare rounded scores, so exact copies tie whatever the order of summation was.
 RANK_DIGITS = 9
+# Words that hold at least one in so many of all terms; so there are no more of them, and they are sent to all tasks.
+HOT_TOKENS = 50_000
+# Bytes of texts that are cut into words at once.
+SLICE_BYTES = 4 << 20
 # Weights of questions and best rows that a task holds at once, and documents, scores and products of weights
 # that are worked on at once.
 ASKED_ROWS, HELD_ROWS, SCORED_DOCS, CELLS = 1 << 20, 1 << 18, 512, 1 << 20
@@ -53,6 +58,82 @@ def token_counts(df: DataFrame, keys: list[str], content: str) -> DataFrame:
     )
 
 
+_WORD, _DIGIT, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123)]] = True
+_DIGIT[48:58] = True
+_LOWER[65:91] += 32
+
+
+def _cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and number of every word of :func:`text.token_bag`, and the distinct words."""
+
+    word = _WORD[data]
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = word[:-1], word[1:]
+    filled = np.diff(offsets) > 0
+    before[offsets[:-1][filled]] = False
+    after[offsets[1:][filled] - 1] = False
+    starts, stops = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+    # A word begins at the first byte of a run that is no digit.
+    letters = np.append(np.flatnonzero(word & ~_DIGIT[data]), len(data))
+    starts = letters[np.searchsorted(letters, starts)]
+    starts, stops = starts[starts < stops], stops[starts < stops]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[stops] -= 1
+    found = pa.Array.from_buffers(pa.large_string(), len(starts), [
+        None, pa.py_buffer(np.append(0, np.cumsum(stops - starts))),
+        pa.py_buffer(_LOWER[data[np.cumsum(inside[:-1], dtype=np.int8) > 0]])]).dictionary_encode()
+    codes, row = found.indices.to_numpy().astype(np.int64), np.searchsorted(offsets, starts, side="right") - 1
+    names = found.dictionary.to_pylist()
+    number = {name: i for i, name in enumerate(names)}
+    many, parts = np.zeros(len(names), np.int64), []
+    for i, name in enumerate(names):
+        if "_" in name:
+            own = [p for p in name.split("_") if p and p != name]
+            many[i] = len(own)
+            parts += [number.setdefault(p, len(number)) for p in own]
+    if parts:
+        first = np.cumsum(many) - many
+        each = many[codes]
+        ends = np.cumsum(each)
+        at = np.arange(ends[-1]) + np.repeat(first[codes] - ends + each, each)
+        row, codes = np.append(row, np.repeat(row, each)), np.append(codes, np.array(parts, np.int64)[at])
+    return row, codes, pa.array(number, pa.string())
+
+
+def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of whole texts, counted, in slices of about ``SLICE_BYTES``."""
+
+    for batch in batches:
+        texts = pc.fill_null(batch.column("content").cast(pa.large_binary()), b"")
+        _, at, held = texts.buffers()
+        offsets = np.frombuffer(at, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
+        start = 0
+        while start < len(texts):
+            stop = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1
+            stop = min(max(stop, start + 1), len(texts))
+            row, codes, names = _cut_words(data[offsets[start]:offsets[stop]], offsets[start:stop + 1] - offsets[start])
+            total = np.bincount(row, minlength=stop - start)
+            pairs, amounts = np.unique(row * max(1, len(names)) + codes, return_counts=True)
+            row, codes = divmod(pairs, max(1, len(names)))
+            terms = pa.StructArray.from_arrays([names.take(pa.array(codes)), pa.array(amounts, pa.int32())], ["token", "amount"])
+            lists = pa.ListArray.from_arrays(np.searchsorted(row, np.arange(stop - start + 1)).astype(np.int32), terms)
+            kept = [batch.column(i).slice(start, stop - start) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(total, pa.int32()), lists], [*batch.schema.names[:-1], "total", "terms"])
+            start = stop
+
+
+def document_terms(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, document_id, total, terms) of every document; a term is (token, amount)."""
+
+    held = docs.select(*keys, "document_id", F.col("content").cast("string").alias("content"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
+    return held.mapInArrow(_term_rows, f"{kinds}, total int, terms array<struct<token:string,amount:int>>")
+
+
 def inverse_frequencies(counts: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
     """ln((N + 1) / (df + 1)) + 1 of each token of a corpus."""
 
@@ -60,7 +141,7 @@ def inverse_frequencies(counts: DataFrame, docs: DataFrame, keys: list[str]) ->
     sizes = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     joined = found.join(sizes, keys) if keys else found.crossJoin(F.broadcast(sizes))
     return joined.select(
-        *keys, "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")
+        *keys, "token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")
     )
 
 
@@ -189,8 +270,55 @@ def _score_documents(asked: pa.Table, k: int):
     return score
 
 
-def tfidf_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """The k best documents of each question.
+@dataclass
+class RankIndex:
+    """A stored corpus: documents with their terms and norms, and the frequencies of words; each corpus of ``keys`` has its own."""
+
+    keys: list[str]
+    rows: DataFrame
+    frequencies: DataFrame
+    documents: DataFrame
+
+
+def _indexed(rows: DataFrame, keys: list[str]) -> RankIndex:
+    """The index of term rows.  Norms add up where the terms lie for hot words; only the others meet their frequencies by a join."""
+
+    name = [*keys, "document_id"]
+    counts = rows.select(*name, "total", F.inline("terms").alias("token", "amount"))
+    idf = cut(inverse_frequencies(counts.select(*keys, "token"), rows, keys))
+    terms = idf.agg(F.sum("df")).head()[0] or 0
+    hot = idf.where(F.col("df") * HOT_TOKENS >= terms).select(*keys, "token", F.col("idf").alias("hot"))
+    split = counts.join(F.broadcast(hot), [*keys, "token"], "left")
+    square = lambda idf_: F.pow(F.col("amount") / F.col("total") * F.col(idf_), 2)
+    near = split.where("hot IS NOT NULL").groupBy(*name).agg(F.sum(square("hot")).alias("part"))
+    far = split.where("hot IS NULL").join(idf, [*keys, "token"]).groupBy(*name).agg(F.sum(square("idf")).alias("part"))
+    norms = near.unionByName(far).groupBy(*name).agg(F.sqrt(F.sum("part")).alias("doc_norm"))
+    return RankIndex(keys, rows, idf, rows.join(norms, name))
+
+
+def build_index(docs: DataFrame, keys: list[str] | None = None) -> RankIndex:
+    return _indexed(cut(document_terms(docs, keys or [])), keys or [])
+
+
+def update_index(index: RankIndex, changed: DataFrame, removed: DataFrame | None = None) -> RankIndex:
+    """The index of the next revision: only ``changed`` documents, new ones included, are cut into words.
+
+    ``removed`` has (keys, document_id).  Frequencies and norms are summed anew from the stored terms, as every
+    norm depends on the number of documents.
+    """
+
+    name = [*index.keys, "document_id"]
+    gone = changed.select(*name) if removed is None else changed.select(*name).unionByName(removed.select(*name))
+    kept = index.rows.join(gone, name, "left_anti")
+    return _indexed(cut(kept.unionByName(document_terms(changed, index.keys))), index.keys)
+
+
+#: Between a corpus and a word or question of it.
+WITHIN = "\x1f"
+
+
+def search_index(index: RankIndex, questions: DataFrame, k: int) -> DataFrame:
+    """The k best documents of each question of its corpus.
 
     A document's words stay in one row, so all of its scores are complete in its task, and only
     the k best of each task and question are shuffled.  The weights of the questions' own words
@@ -198,34 +326,49 @@ def tfidf_top(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     ``HELD_ROWS``; of several blocks, each is done before the driver reads the next.
     """
 
-    words = F.sort_array(text.token_bag(F.col("content")))
-    rows = cut(docs.select("document_id", words.alias("words")).select(
-        "document_id", F.size("words").alias("total"), _runs(F.col("words")).alias("terms")))
-    counts = rows.select("document_id", "total", F.inline("terms").alias("token", "amount"))
-    idf = cut(inverse_frequencies(counts.select("document_id", "token"), docs, []))
-    asked = token_counts(questions, ["question_id"], "question").join(idf, "token").select(
-        "question_id", "token", "idf", (F.col("amount") / F.col("total") * F.col("idf")).alias("weight"))
-    norms = asked.groupBy("question_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    asked = cut(asked.join(norms, "question_id").select(
-        "question_id", "token", "idf", (F.col("weight") / F.col("norm")).alias("weight")))
-    weight = F.col("amount") / F.col("total") * F.col("idf")
-    doc_norms = counts.join(idf, "token").groupBy("document_id").agg(F.sqrt(F.sum(weight * weight)).alias("doc_norm"))
-    normed = cut(rows.join(doc_norms, "document_id").select("document_id", "total", "terms", "doc_norm"))
-    size = asked.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("question_id").alias("questions")).head()
+    keys = index.keys
+    corpus = F.concat_ws(WITHIN, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]) if keys else F.lit("")
+    within = (lambda c: F.concat(corpus, F.lit(WITHIN), F.col(c).cast("string"))) if keys else F.col
+    asked = token_counts(questions, [*keys, "question_id"], "question").join(index.frequencies, [*keys, "token"]).select(
+        *keys, "question_id", "token", "idf", (F.col("amount") / F.col("total") * F.col("idf")).alias("weight"))
+    norms = asked.groupBy(*keys, "question_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    asked = cut(asked.join(norms, [*keys, "question_id"]).select(
+        *keys, "question_id", within("question_id").alias("asked_by"), within("token").alias("token"), "idf",
+        (F.col("weight") / F.col("norm")).alias("weight")))
+    size = asked.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("asked_by").alias("questions")).head()
     blocks = 1 + max(size["rows"] // ASKED_ROWS, size["questions"] * k // HELD_ROWS)
-    block = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+    block = F.pmod(F.xxhash64("asked_by"), F.lit(blocks))
+    normed = index.documents.select(*keys, "document_id", "total", "terms", "doc_norm")
+    if keys:
+        normed = normed.withColumn("terms", F.transform(
+            "terms", lambda t: F.struct(F.concat(corpus, F.lit(WITHIN), t["token"]).alias("token"), t["amount"].alias("amount"))))
+    normed = normed.select("document_id", "total", "terms", "doc_norm")
+    if blocks > 1:
+        normed = cut(normed)
     kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema.fields, *normed.schema.fields]}
-    schema = f"question_id {kinds['question_id']}, document_id {kinds['document_id']}, score double"
+    schema = f"question_id {kinds['asked_by']}, document_id {kinds['document_id']}, score double"
     found = None
     for number in range(blocks):
-        part = asked.where(block == number).toArrow()
+        part = asked.where(block == number).select(F.col("asked_by").alias("question_id"), "token", "idf", "weight").toArrow()
         if len(part):
             scored = normed.mapInArrow(_score_documents(part, k), schema)
             scored = cut(scored) if blocks > 1 else scored
             found = scored if found is None else found.unionByName(scored)
     if found is None:
-        found = asked.select("question_id").join(normed.select("document_id"), F.lit(False)).withColumn("score", F.lit(0.0))
-    return top_ranked(found, k)
+        found = asked.select(F.col("asked_by").alias("question_id")).join(
+            normed.select("document_id"), F.lit(False)).withColumn("score", F.lit(0.0))
+    best = top_ranked(found, k)
+    if not keys:
+        return best
+    named = questions.select(*keys, "question_id", within("question_id").alias("asked_by")).distinct()
+    return best.withColumnRenamed("question_id", "asked_by").join(named, "asked_by").select(
+        *keys, "question_id", "document_id", "score", "rank")
+
+
+def tfidf_top(docs: DataFrame, questions: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
+    """The k best documents of each question, by an index that is built for the call."""
+
+    return search_index(build_index(docs, keys), questions, k)
 
 
 def tfidf_search(
@@ -233,7 +376,7 @@ def tfidf_search(
 ) -> DataFrame:
     if not 1 <= k <= 100:
         raise ValueError("k must be between 1 and 100")
-    return top_ranked(tfidf_scores(docs, questions, keys), k, keys) if keys else tfidf_top(docs, questions, k)
+    return tfidf_top(docs, questions, k, keys)
 
 
 def card_filter(

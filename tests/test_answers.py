@@ -214,3 +214,47 @@ def test_tfidf_blocks_equal_the_joins(spark, monkeypatch):
     for name, value in {"ASKED_ROWS": 100, "HELD_ROWS": 40, "CELLS": 50}.items():
         monkeypatch.setattr(retrieval, name, value)
     assert rows(retrieval.tfidf_top(docs, questions, 4)) == expected
+
+
+def _ranked(df, keys=()):
+    return sorted((*(r[k] for k in keys), r.question_id, r.rank, r.document_id, round(r.score, 9)) for r in df.collect())
+
+
+def test_each_corpus_is_ranked_by_its_own_frequencies(spark):
+    pick = random.Random(9)
+    words = [f"w{i}" for i in range(40)] + ["snake_case", "_x__y_", "9lives", "CamelCase", "naïve", "a1_b2"]
+    text = lambda n: " ".join(pick.choices(words, k=pick.randint(0, n)))
+    docs = spark.createDataFrame([(c, f"d{i:03d}", text(30)) for c in ("a", "b") for i in range(80)] + [("a", "none", None), ("c", "d0", "w1")],
+                                 "corpus string, document_id string, content string")
+    questions = spark.createDataFrame([(c, f"q{i:02d}", text(8)) for c in ("a", "b", "d") for i in range(12)],
+                                      "corpus string, question_id string, question string")
+    for keys in (["corpus"], []):
+        some, asked = (docs, questions) if keys else (docs.where("corpus = 'a'").drop("corpus"), questions.where("corpus = 'a'").drop("corpus"))
+        expected = _ranked(retrieval.top_ranked(retrieval.tfidf_scores(some, asked, keys), 4, keys), keys)
+        assert _ranked(retrieval.tfidf_top(some, asked, 4, keys), keys) == expected
+
+
+def test_words_are_cut_as_by_the_rule(spark):
+    from pyspark.sql import functions as F
+
+    from repograph.functions import text
+
+    pick = random.Random(2)
+    texts = ["".join(pick.choices("aB9_ é-\n", k=pick.randint(0, 40))) for _ in range(400)] + [None, "", "9", "_", "__a__b_", "a", "9a"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "document_id int, content string").repartition(2)
+    found = {r.document_id: (r.total, sorted(x for t in r.terms for x in [t.token] * t.amount)) for r in retrieval.document_terms(docs, []).collect()}
+    for r in docs.select("document_id", F.coalesce(text.token_bag(F.col("content")), F.array()).alias("bag")).collect():
+        assert found[r.document_id] == (len(r.bag), sorted(r.bag)), texts[r.document_id]
+
+
+def test_an_index_is_kept_up(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", f"alpha w{i % 7} w{i % 5} beta") for i in range(60)], "document_id string, content string")
+    changed = spark.createDataFrame([("d3", "gamma delta"), ("new", "alpha gamma")], docs.schema)
+    questions = spark.createDataFrame([("q1", "gamma w3"), ("q2", "alpha beta w1")], "question_id string, question string")
+    removed = docs.where("document_id IN ('d5', 'd6')")
+    after = docs.where("document_id NOT IN ('d3', 'd5', 'd6')").unionByName(changed)
+    expected = _ranked(retrieval.tfidf_top(after, questions, 5))
+    for hot in (retrieval.HOT_TOKENS, 3):
+        monkeypatch.setattr(retrieval, "HOT_TOKENS", hot)
+        index = retrieval.update_index(retrieval.build_index(docs), changed, removed)
+        assert _ranked(retrieval.search_index(index, questions, 5)) == expected
