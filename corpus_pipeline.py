@@ -2,13 +2,13 @@
 
 Each stage takes the documents its predecessor kept and is written as Parquet before the next one reads
 them.  Empty and missing texts have no language and go in the first stage; later stages keep them if they
-get them.  Rows without an id are kept by every stage that decides by id.
+get them.  Every row is judged by itself: rows that share an id, and rows without one, are told apart by a number.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repograph.llm import decontamination, language, near_dup, packing, repeats
@@ -27,28 +27,40 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         (F.coalesce("record.lang", "lang_pred") if c == "lang" else F.col(f"record.`{c}`")).alias(c) for c in docs.columns])
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is not among ``ids``; columns are renamed meanwhile, so none can clash."""
+NUMBER = "number"
 
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    key = F.col(names[docs.columns.index("doc_id")])
-    gone = ids.distinct().toDF("gone")
-    return docs.toDF(*names).join(gone, key.eqNullSafe(F.col("gone")), "left_anti").toDF(*docs.columns)
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with columns c0, c1, ..., so that none can clash, and a number each; stored, so that it lasts."""
+
+    return store(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn(NUMBER, F.monotonically_increasing_id()))
+
+
+def _column(docs: DataFrame, name: str) -> Column:
+    return F.col(f"c{docs.columns.index(name)}")
+
+
+def _without(rows: DataFrame, gone: DataFrame, docs: DataFrame) -> DataFrame:
+    """Numbered rows that are not among ``gone``, with the columns of ``docs``."""
+
+    return rows.join(gone.toDF(NUMBER).distinct(), NUMBER, "left_anti").drop(NUMBER).toDF(*docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of near duplicates.
+    """Keep one row of each component of near duplicates: that with the smallest id, rows without one last.
 
-    Rows that share an id are one document; the one with the smallest text hash stays.
+    Different texts that share an id are vertices of their own; of rows repeated as a whole one stays.
     """
 
-    judged = near_dup.near_duplicates(docs, SHINGLE)
-    left = _without(docs, judged.where("NOT kept").select("doc_id"))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
-    order = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    place = F.when(F.col(key).isNotNull(), F.row_number().over(order)).otherwise(1)
-    return left.toDF(*names).withColumn("place", place).where("place = 1").select(*names).toDF(*docs.columns)
+    rows = _numbered(docs)
+    judged = near_dup.near_duplicates(
+        rows.select(F.col(NUMBER).alias("doc_id"), _column(docs, "text").alias("text")), SHINGLE)
+    several = judged.where("NOT kept").select("component_id").distinct()
+    members = judged.join(several, "component_id").select("component_id", F.col("doc_id").alias(NUMBER))
+    members = store(members.join(rows.select(NUMBER, _column(docs, "doc_id").alias("id")), NUMBER))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", NUMBER))[NUMBER].alias("keeper"))
+    gone = members.join(first, "component_id").where(F.col(NUMBER) != F.col("keeper")).select(NUMBER)
+    return _without(rows, gone, docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +76,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item or an edited copy of one."""
 
-    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, leaks.select("doc_id"))
+    rows = _numbered(docs)
+    texts = rows.select(F.col(NUMBER).alias("doc_id"), _column(docs, "text").alias("text"))
+    leaks = decontamination.find_leaks(texts, table(spark, sf_dir, "benchmark"))
+    return _without(rows, leaks.select("doc_id"), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
