@@ -56,3 +56,19 @@ def test_empty_tables(spark, tmp_path):
         f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_texts_that_share_an_id_are_judged_one_by_one(spark, tmp_path):
+    pick = random.Random(6)
+    texts = [prose(pick, "en", 60) for _ in range(5)]
+    item = prose(pick, "en", 20)
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (8, f"{texts[1]} more"), (9, f"{texts[2]} {item}"), (9, texts[3]),
+            (None, texts[4]), (None, texts[4]), (None, prose(pick, "en", 50))]
+    docs = spark.createDataFrame([(*r, "number") for r in rows], "doc_id long, text string, number string").repartition(3)
+    near = pipeline.store(pipeline.keep_one_of_near_duplicates(spark, docs, str(tmp_path)))
+    want = [rows[i] for i in (0, 1, 4, 5, 6, 8)]
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=repr) == sorted(want, key=repr)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = pipeline.drop_contaminated(spark, near, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=repr) == sorted([r for r in want if item not in r[1]], key=repr)
