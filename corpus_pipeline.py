@@ -30,10 +30,30 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 NUMBER = "number"
 
 
+_copies: dict[str, list[str]] = {}
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """The rows with columns c0, c1, ..., so that none can clash, and a number each; stored, so that it lasts."""
 
-    return store(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn(NUMBER, F.monotonically_increasing_id()))
+    rows = store(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn(NUMBER, F.monotonically_increasing_id()))
+    _copies.setdefault(docs.sparkSession.sparkContext.applicationId, []).extend(
+        {path.rpartition("/")[0] for path in rows.inputFiles()})
+    return rows
+
+
+def _drop_copies(docs: DataFrame) -> None:
+    """Delete the numbered rows of earlier stages, whose results are written by now, unless ``docs`` still reads them."""
+
+    spark = docs.sparkSession
+    read = {path.rpartition("/")[0] for path in docs.inputFiles()}
+    held = _copies.pop(spark.sparkContext.applicationId, [])
+    for path in held:
+        if path in read:
+            _copies.setdefault(spark.sparkContext.applicationId, []).append(path)
+        else:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _column(docs: DataFrame, name: str) -> Column:
@@ -66,6 +86,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove passages of 50 bytes and more that a document with a smaller id has too."""
 
+    _drop_copies(docs)
     cut = repeats.remove_repeats(docs).select("record.*")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -85,6 +106,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences."""
 
+    _drop_copies(docs)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
