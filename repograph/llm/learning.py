@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from repograph.llm.tables import store
 
 FOLDS = 5
+LOTS = 1024  # parts in which the rows of a label are cut first
 
 
 def held_out(doc_id: Column) -> Column:
@@ -22,13 +23,17 @@ def held_out(doc_id: Column) -> Column:
 def bounded_sample(labelled: DataFrame, per_label: int) -> DataFrame:
     """At most ``per_label`` rows (id, label) of each label: those with the smallest hashes.
 
-    The limit is applied before and after the shuffle, so a label with most of the rows is no burden.
+    Each label is cut twice: in ``LOTS`` lots by other bits of its ids, then over what the lots kept.  The first cut is
+    applied before and after its shuffle and deals a label over all tasks, so the second reads at most
+    ``LOTS * per_label`` rows of a label, whatever the number of rows and of tasks.
     """
 
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    return store(
-        labelled.select("id", "label").distinct().withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= per_label).select("id", "label"))
+    def smallest(rows: DataFrame, *keys: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id")
+        return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label).drop("place")
+
+    rows = labelled.select("id", "label").distinct().withColumn("lot", F.pmod(F.hash("id"), F.lit(LOTS)))
+    return store(smallest(smallest(rows, "label", "lot").drop("lot"), "label"))
 
 
 def one_row_each(rows: DataFrame) -> DataFrame:
