@@ -179,31 +179,36 @@ def grounded_groups(groups: DataFrame, triplets: DataFrame, chunks: DataFrame) -
 def drop_covered(groups: DataFrame, triplets: DataFrame, flow_triplets: DataFrame) -> DataFrame:
     """Drop path groups whose relation ids all occur in one assembled path.
 
-    A group is covered when some assembled path holds as many of its relation ids as it has.
+    Equal sets of relation ids are compared once.  A set looks only at the assembled sets that hold its rarest id, the
+    one that the fewest of them hold, so an id in a third of all groups brings no pairs but for the set that has no other.
+    Groups without a relation id stay.
     """
 
-    def relation_ids(df: DataFrame, name: str) -> DataFrame:
-        return (
-            df.select(
-                "question_id", F.col("group_rank").alias(name), F.col("relation.id").alias("rid")
-            )
-            .where(F.coalesce("rid", F.lit("")) != "")
-            .distinct()
-        )
-
-    mine = relation_ids(triplets.where(F.col("list") == "path"), "group_rank")
-    sizes = mine.groupBy("question_id", "group_rank").agg(F.count(F.lit(1)).alias("size"))
-    shared = (
-        mine.join(relation_ids(flow_triplets, "flow_rank"), ["question_id", "rid"])
-        .groupBy("question_id", "group_rank", "flow_rank")
-        .agg(F.count(F.lit(1)).alias("shared"))
-    )
-    covered = (
-        shared.join(sizes, ["question_id", "group_rank"])
-        .where(F.col("shared") == F.col("size"))
-        .select("question_id", F.lit("path").alias("list"), "group_rank")
-        .distinct()
-    )
+    def id_sets(df: DataFrame) -> DataFrame:
+        rid = F.nullif(F.col("relation.id"), F.lit(""))
+        return df.groupBy("question_id", "group_rank").agg(F.array_sort(F.collect_set(rid)).alias("rids")).where(
+            F.size("rids") > 0)
+
+    mine = id_sets(triplets.where(F.col("list") == "path"))
+    held = id_sets(flow_triplets).select("question_id", F.col("rids").alias("held")).distinct()
+    by_id = held.select("question_id", "held", F.explode("held").alias("rid"))
+    holders = by_id.groupBy("question_id", "rid").agg(F.count(F.lit(1)).alias("n"))
+    asked = mine.select("question_id", "rids").distinct()
+    rarest = (
+        asked.select("question_id", "rids", F.explode("rids").alias("rid"))
+        .join(holders, ["question_id", "rid"], "left")
+        .groupBy("question_id", "rids")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "rid")).alias("least"))
+        .where(F.col("least.n") > 0)
+        .select("question_id", "rids", F.col("least.rid").alias("rid"))
+    )
+    inside = (
+        rarest.join(by_id, ["question_id", "rid"])
+        .where(F.size(F.array_except("rids", "held")) == 0)
+        .select("question_id", "rids").distinct()
+    )
+    covered = mine.join(inside, ["question_id", "rids"], "left_semi").select(
+        "question_id", F.lit("path").alias("list"), "group_rank")
     return groups.join(covered, GROUP, "left_anti")
 
 

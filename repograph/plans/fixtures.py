@@ -612,6 +612,36 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files
 
 
+def class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class for every part, with methods, scopes in scopes, a base class for its size, and a test for every third part.
+
+    All of them call one tool, so a third of all names that calls ask for are one name.
+    """
+
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("k"), F.col("p_size").cast("string").alias("s"), "p_partkey")
+
+    def written(rows: DataFrame, path: str, body: str) -> DataFrame:
+        fill = lambda form: F.replace(F.replace(F.lit(form), F.lit("{k}"), F.col("k")), F.lit("{s}"), F.col("s"))
+        return rows.select(fill(path).alias("path"), fill(body).alias("text"))
+
+    parts = written(part, "parts/p{k}.py", (
+        "from sizes.s{s} import Size{s}\nfrom tools.util import weigh\n\n\nclass Part{k}(Size{s}):\n"
+        "    def cost(self):\n        return self.price() + weigh(len('x'))\n\n"
+        "    def price(self):\n        return weigh(1)\n\n\n"
+        "def make():\n    def inner():\n        return weigh(2)\n\n    def outer():\n        return inner()\n\n"
+        "    return Part{k}()\n"))
+    sizes = written(part.select("s", F.lit("").alias("k")).distinct(), "sizes/s{s}.py", (
+        "class Size{s}:\n    def open(self):\n        return self.close()\n\n    def close(self):\n        return 1\n"))
+    tests = written(part.where(F.col("p_partkey") % 3 == 0), "tests/test_p{k}.py", (
+        "from parts.p{k} import make\n\n\ndef test_make():\n    make()\n"))
+    tool = spark.range(1).select(F.lit("tools/util.py").alias("path"), F.lit("def weigh(x):\n    return x\n").alias("text"))
+    return parts.unionByName(sizes).unionByName(tests).unionByName(tool).select(
+        F.lit("parts").alias("repository_id"), F.lit("r1").alias("revision_id"), "path",
+        F.octet_length("text").cast("bigint").alias("size_bytes"), F.encode("text", "UTF-8").alias("content"),
+        F.sha2("text", 256).alias("content_hash"))
+
+
 def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files under names that the file rules treat differently."""
 

@@ -258,3 +258,23 @@ def test_an_index_is_kept_up(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "HOT_TOKENS", hot)
         index = retrieval.update_index(retrieval.build_index(docs), changed, removed)
         assert _ranked(retrieval.search_index(index, questions, 5)) == expected
+
+
+def test_covered_groups_by_their_rarest_relation(spark):
+    """Against all pairs: one relation in all groups, equal groups, blank and null ids, null questions."""
+
+    chance = random.Random(5)
+    sets = [["hot"] + [f"r{chance.randrange(12)}" for _ in range(chance.randrange(4))] for _ in range(60)]
+    sets += [["hot"], [""], [None], ["", "hot"], ["r1"], []]
+    flows = [["hot"] + [f"r{chance.randrange(12)}" for _ in range(chance.randrange(6))] for _ in range(20)] + [[""], ["other"]]
+    rows = lambda given, question: [(question, "path", i, (r,)) for i, rids in enumerate(given) for r in rids]
+    schema = "question_id string, list string, group_rank int, relation struct<id: string>"
+    triplets = spark.createDataFrame(rows(sets, "q") + rows(sets[:9], None) + rows(sets[:9], "alone"), schema)
+    assembled = spark.createDataFrame(rows(flows, "q") + rows(flows, None), schema)
+    groups = spark.createDataFrame(
+        [(q, kind, i) for q in ("q", "alone", None) for kind in ("path", "other") for i in range(len(sets))],
+        "question_id string, list string, group_rank int")
+    real = lambda rids: {r for r in rids if r}
+    gone = {("q", "path", i) for i, rids in enumerate(sets) if real(rids) and any(real(rids) <= real(f) for f in flows)}
+    kept = {tuple(r) for r in answer.drop_covered(groups, triplets, assembled).collect()}
+    assert 0 < len(gone) < len(sets) and kept == {tuple(r) for r in groups.collect()} - gone

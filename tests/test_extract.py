@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from repograph.operators import validate
+from repograph.operators import resolve, validate
 from repograph.plans import index
 from repograph.sources import files as sources
 
@@ -166,3 +166,23 @@ def test_manifests_that_are_not_read_are_listed(spark):
     found = index.index_files(table(spark, {"big": {"a.py": "x = 1\n", "Procfile": "web: a.py\n"}}).withColumn(
         "content", F.when(F.col("path") == "Procfile", F.rpad("content", 1_000_001, F.lit(b" "))).otherwise(F.col("content"))))
     assert [r.message for r in found["diagnostics"].collect()] == ["Procfile: manifest of 1000001 bytes is not read"]
+
+
+def test_hot_names_are_dealt_over_lots(spark):
+    """Where a third of all calls ask for one name, its rows have many keys and the targets stay the same."""
+
+    hot = F.when(F.col("id") % 3 == 0, F.lit("util.size")).otherwise(F.concat(F.lit("m.f"), F.col("id").cast("string")))
+    tried = spark.range(30_000).select(
+        F.lit("r").alias("repository_id"), F.lit("v").alias("revision_id"), F.concat(F.lit("m"), "id").alias("path"),
+        F.col("id").cast("int").alias("site"), F.lit(0).alias("turn"), hot.alias("candidate"))
+    symbols = tried.select("repository_id", "revision_id", "candidate").distinct().withColumn(
+        "t", F.struct(F.col("candidate").alias("target_path"), F.lit("FUNCTION").alias("target_kind")))
+    heavy = resolve.heavy_names(tried)
+    named = tried.where(F.xxhash64("repository_id", "revision_id", "candidate").isin(heavy)).select("candidate").distinct()
+    assert [r.candidate for r in named.collect()] == ["util.size"]
+    rows = lambda found: sorted((r.site, r.candidate, r.t.target_path) for r in found.collect())
+    dealt = resolve.name_targets(tried, symbols, heavy)
+    assert rows(dealt) == rows(resolve.name_targets(tried, symbols, [])) and dealt.count() == 30_000
+    lot = F.pmod(F.hash("path", "site"), F.lit(resolve.NAME_LOTS))
+    sizes = [r["count"] for r in tried.where("candidate = 'util.size'").groupBy(lot).count().collect()]
+    assert len(sizes) == resolve.NAME_LOTS and max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
