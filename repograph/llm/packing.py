@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences with exact complements.
 
 Only lengths matter for a plan, and there are at most ``capacity`` of them, so the plan is made on the
-table of length counts: from the longest length down, the gap of a piece is filled exactly by a
-single other length, a pair or a triple, as many times as the counts allow; what has no exact
+table of length counts: sums of one, two and three lengths are indexed; from the longest length down, the gap
+of a piece is looked up there and filled exactly, as many times as the counts allow; what has no exact
 complement goes best-fit, longest first.  A plan is a list of patterns (how many pieces of which
 lengths make a sequence) with counts.
 
@@ -62,13 +62,31 @@ def _pieces(path: str, capacity: int, end_id: int):
     return arrays.tidy(cut)
 
 
-class _Stock:
-    """Counts of the lengths that are left."""
+class SumIndex:
+    """Counts of the lengths that are left, and an index of the sums of two and of three of them.
+
+    A single length is its own sum.  ``pairs[s]`` and ``triples[s]`` hold lengths that add up to ``s``, largest
+    first, zeros where no lengths do.  They are filled once from the lengths that occur; an entry that the counts
+    no longer bear out is looked for again when its sum is asked for.  Counts only fall, so an entry of zeros stays.
+    Of several combinations the one with the largest first length is held.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.count = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.count[length] = n
+        self.pairs = np.zeros((capacity + 1, 2), np.int64)
+        self.triples = np.zeros((capacity + 1, 3), np.int64)
+        lengths = np.flatnonzero(self.count)
+        for largest in lengths[::-1].tolist():
+            others = lengths[lengths <= min(largest, capacity - largest)]
+            others = others[self.pairs[largest + others, 0] == 0]
+            self.pairs[largest + others, 0], self.pairs[largest + others, 1] = largest, others
+        summed = np.flatnonzero(self.pairs[:, 0])
+        for largest in lengths[::-1].tolist():
+            others = summed[summed <= capacity - largest]
+            others = others[self.triples[largest + others, 0] == 0]
+            self.triples[largest + others, 0], self.triples[largest + others, 1:] = largest, self.pairs[others]
 
     def times(self, pattern: tuple[int, ...]) -> int:
         """How often a pattern can be taken."""
@@ -79,36 +97,44 @@ class _Stock:
         for length in pattern:
             self.count[length] -= times
 
-    def _pair(self, total: int, most: int) -> tuple[int, int] | None:
-        """Two lengths of the given sum, the larger at most ``most``; the most uneven pair."""
+    def _pair(self, total: int, most: int) -> tuple[int, int]:
+        """Two lengths that are left, of the given sum, the larger at most ``most``; zeros if there are none."""
 
         larger = np.arange((total + 1) // 2, min(total - 1, most) + 1)
         fits = (self.count[larger] > 0) & (self.count[total - larger] > (larger * 2 == total))
         found = np.flatnonzero(fits)
-        return (int(larger[found[-1]]), int(total - larger[found[-1]])) if len(found) else None
+        return (int(larger[found[-1]]), int(total - larger[found[-1]])) if len(found) else (0, 0)
 
-    def complement(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three lengths that fill the gap exactly."""
+    def _triple(self, total: int) -> tuple[int, int, int]:
+        """Three lengths that are left, of the given sum; zeros if there are none."""
 
-        if self.count[gap]:
-            return (gap,)
-        if gap > 1 and (pair := self._pair(gap, gap - 1)):
-            return pair
-        for largest in np.flatnonzero(self.count[:gap - 1])[::-1].tolist() if gap > 2 else []:
-            if largest * 3 < gap:
+        for largest in np.flatnonzero(self.count[:max(total - 1, 0)])[::-1].tolist():
+            if largest * 3 < total:
                 break
             self.count[largest] -= 1
-            pair = self._pair(gap - largest, largest)
+            pair = self._pair(total - largest, largest)
             self.count[largest] += 1
-            if pair:
+            if pair[0]:
                 return (largest, *pair)
+        return (0, 0, 0)
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that fill the gap exactly and are left."""
+
+        if self.count[gap]:
+            return (gap,)
+        for sums, search in ((self.pairs, lambda s: self._pair(s, s - 1)), (self.triples, self._triple)):
+            if sums[gap, 0] and not self.times(tuple(sums[gap].tolist())):
+                sums[gap] = search(gap)
+            if sums[gap, 0]:
+                return tuple(sums[gap].tolist())
         return None
 
 
 def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Patterns ((length, copies), ...) with how many sequences have them."""
 
-    stock = _Stock(counts, capacity)
+    stock = SumIndex(counts, capacity)
     patterns: list[tuple[Counter[int], int]] = []
     rest: dict[int, int] = {}
     for length in sorted(counts, reverse=True):

@@ -1,6 +1,7 @@
+import itertools
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +29,49 @@ def test_plan_uses_every_piece_once(counts):
     assert total <= max(1, 2 * -(-held // 40))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 24), st.integers(1, 2)), st.lists(st.integers(1, 24), max_size=12))
+def test_index_finds_a_complement_where_there_is_one(counts, gaps):
+    index = packing.SumIndex(counts, 24)
+    for gap in [*gaps, *range(1, 25)]:
+        left = [length for length in range(1, 25) for _ in range(index.count[length])]
+        exists = any(sum(c) == gap for n in (1, 2, 3) for c in itertools.combinations(left, n))
+        found = index.complement(gap)
+        assert (found is not None) == exists
+        if found:
+            assert sum(found) == gap and index.times(found) > 0
+            index.take(found, 1)
+
+
+def least_sequences(pieces: list[int], capacity: int) -> int:
+    """The fewest sequences, by trying all places."""
+
+    best = len(pieces)
+
+    def put(rest: list[int], bins: tuple[int, ...]) -> None:
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if not rest:
+            best = len(bins)
+            return
+        for gap in {b for b in bins if b >= rest[0]}:
+            left = list(bins)
+            left.remove(gap)
+            put(rest[1:], (*left, gap - rest[0]))
+        put(rest[1:], (*bins, capacity - rest[0]))
+
+    put(sorted(pieces, reverse=True), ())
+    return best
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=9))
+def test_plan_is_near_the_fewest_sequences(pieces):
+    made = sum(n for _, n in packing.plan_patterns(dict(Counter(pieces)), 20))
+    assert made <= least_sequences(pieces, 20) + 1
+
+
 def test_exact_complements_leave_no_gap():
     patterns = packing.plan_patterns({7: 4, 3: 4, 6: 2, 2: 4, 1: 4, 5: 2, 10: 3}, 10)
     assert all(sum(length * n for length, n in p) == 10 for p, _ in patterns[:-1])
