@@ -1,20 +1,22 @@
-"""Repeated passages by hash grouping at winnowed anchors.
+"""Repeated passages by a depth-limited radix sort of suffixes at winnowed anchors.
 
-Two texts share a string of ``length`` bytes exactly if two windows of ``length`` bytes are equal.  Only
-equality matters, so windows are grouped by 64-bit hashes and no suffixes are ordered by their bytes;
-windows are dropped as soon as their group has no other document.
+Two texts share a string of ``length`` bytes exactly if two suffixes agree in their first ``length`` bytes, so
+suffixes are ordered only that far, and only where an anchor says that a window may repeat.
 
 * The windows that take part are those around anchors: in every window of ``length`` bytes the smallest hash
   of ``DIGIT`` bytes.  Equal windows have equal anchors, so nothing repeated is missed.
-* Pass 0 counts the anchors of each digit, which is the anchor's hash modulo ``DIGITS``.
-* Pass 1 deals anchors to buckets by digit, groups each bucket by hashes of (anchor, surrounding bytes) and keeps
-  the groups with several documents.  An anchor whose whole surroundings stand in a smaller document is
-  settled there and then; of the others only the smallest document of each group goes on.
-* Pass 2 groups what is left by hashes of the full windows around the anchor; equal groups are the repeated windows.
+* Anchors are counted by digit, which is the anchor's hash modulo ``DIGITS``, and dealt to buckets by it.  A bucket
+  groups them by hashes of (anchor, surrounding bytes) and keeps the groups with several documents.  An anchor
+  whose whole surroundings stand in a smaller document is settled there and then; of the others only the smallest
+  document of each group goes on.
+* The suffixes that start up to ``length - DIGIT`` bytes before such an anchor are ordered by a radix sort, most
+  significant digit (``PASS`` bytes) first and only through ``length`` bytes.  A group without a second document
+  leaves after the pass that shows it; the groups left after the last pass are the repeated windows.
 
 A digit with far more than its share of anchors (a line that a third of the texts hold) skips the
-buckets: its windows are grouped as rows, with partial aggregation before the shuffle.  Within a task
-repeated surroundings are settled before anything is sent.  Buckets hold about ``BUCKET_BYTES``.
+buckets: its windows are dealt by their hash, each with its bytes, and sorted in their tasks before
+the shuffle and after it.  Within a task repeated surroundings are settled before anything is sent.
+Buckets hold about ``BUCKET_BYTES``, partitions ``TASK_BYTES``; settled anchors go anywhere, slice by slice.
 
 Texts are UTF-8 bytes; null is empty and matches never cross texts.  A null id counts as larger than all
 others.  Rows with the same id are never compared with one another; repeated rows get the same
@@ -36,8 +38,11 @@ from repograph.llm.tables import store
 
 DIGIT = 20
 DIGITS = 1 << 12
+PASS = 8
 HEAVY = 4
 BUCKET_BYTES = 8 << 20
+TASK_BYTES = 4 * BUCKET_BYTES
+HEAVY_ROWS = 1 << 12
 LAST = np.iinfo(np.int64).max
 
 SPANS = "doc long, row long, start int, stop int, open boolean, heavy boolean"
@@ -95,10 +100,13 @@ def _count_digits(length: int):
 
 ENTRY = [("gram", np.uint64), ("around", np.uint64), ("doc", np.int64), ("row", np.int64), ("at", np.int32),
          ("before", np.uint16), ("after", np.uint16)]
-WINDOW = [("window", np.uint64), ("doc", np.int64), ("row", np.int64), ("start", np.int32)]
 DEALT = "bucket long, kind string, entries binary"
 
 
+def _window_entry(length: int) -> list[tuple]:
+    return [("window", np.dtype((np.void, length))), ("doc", np.int64), ("row", np.int64), ("start", np.int32)]
+
+
 def _unpack(table: pa.Table, kind: str, columns: list[tuple]) -> list[np.ndarray]:
     """The entries of a kind in a bucket."""
 
@@ -125,6 +133,12 @@ def _deal_out(kind: str, key: np.ndarray, entry: list[np.ndarray], buckets: int)
         yield int(bucket[a]), kind, b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in entry)
 
 
+def _one_lot(row: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """One key for all settled entries of a slice: they are not compared again, so that any bucket may hold them."""
+
+    return np.repeat(arrays.mix(row[:1].astype(np.uint64)), np.count_nonzero(part))
+
+
 def _dealt(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
     buckets, kinds, blobs = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_pydict({
@@ -170,8 +184,9 @@ def _deal_anchors(length: int, buckets: int, heavy: np.ndarray):
                 for kind, part, key in (
                         # Heavy digits are spread by what stands around them.
                         ("entry", ~heavy & ~settled, gram), ("heavy", heavy & ~settled, around),
-                        ("settled", settled, around)):
-                    rows_out += _deal_out(kind, key[part], [c[part] for c in entry], buckets)
+                        ("settled", settled, None)):
+                    lots = _one_lot(row, part) if key is None else key[part]
+                    rows_out += _deal_out(kind, lots, [c[part] for c in entry], buckets)
                 yield _dealt(rows_out)
 
     return arrays.tidy(deal)
@@ -189,7 +204,7 @@ def _span_table(parts: list[tuple]) -> pa.Table:
 
 
 def _sort_bucket(table: pa.Table) -> pa.Table:
-    """Pass 1 on one bucket: settled spans, and anchors (start only) that go on."""
+    """One bucket of anchors: settled spans, and anchors (start only) that go on."""
 
     parts = []
     for kind in ("entry", "heavy"):
@@ -249,17 +264,26 @@ def _surroundings(length: int, buckets: int):
     return arrays.tidy(cut_out)
 
 
-def _window_hashes(held: np.ndarray, low: np.ndarray, high: np.ndarray, length: int):
-    """For each place of the anchor in a window: the hashes of the windows and which exist."""
-
-    left = length - DIGIT
-    n, width = held.shape
-    factors, inverse = arrays.powers(width)
-    sums = np.zeros((n, width + 1), np.uint64)
-    np.cumsum(arrays._BYTES[held] * factors[:width], axis=1, out=sums[:, 1:])
-    for j in range(left + 1):
-        a, b = left - j, left - j + length
-        yield j, arrays.mix((sums[:, b] - sums[:, a]) * inverse[a]), (low >= j) & (high >= length - j)
+def _later_windows(held: np.ndarray, doc: np.ndarray, rows: np.ndarray, first: int, length: int) -> np.ndarray:
+    """Those of ``rows`` whose ``length`` bytes from column ``first`` on also stand in a row of a smaller document."""
+
+    group = np.zeros(len(rows), np.int64)
+    for begin in range(first, first + length, PASS):
+        if not len(rows):
+            return rows
+        digit = np.zeros((len(rows), PASS), np.uint8)
+        stop = min(begin + PASS, first + length)
+        digit[:, :stop - begin] = held[rows, begin:stop]
+        value = digit.view(">u8").ravel()
+        order = np.lexsort((value, group))
+        rows, group, value = rows[order], group[order], value[order]
+        fresh = np.append(True, (group[1:] != group[:-1]) | (value[1:] != value[:-1]))
+        group, heads = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        least = np.minimum.reduceat(doc[rows], heads)
+        several = (least < np.maximum.reduceat(doc[rows], heads))[group]
+        later = several & (doc[rows] > least[group])
+        rows, group, later = rows[several], group[several], later[several]
+    return rows[later] if len(rows) else rows
 
 
 def _held(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -268,16 +292,15 @@ def _held(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 
 def _sort_windows(length: int):
     def sort(table: pa.Table) -> pa.Table:
-        """Pass 2 on one bucket: the span of repeated windows around each anchor."""
+        """The radix sort on one bucket: the span of repeated windows around each anchor."""
 
         number = lambda name: table[name].combine_chunks().to_numpy(zero_copy_only=False)
         doc, row, at, low, high = (number(n) for n in ("doc", "row", "at", "low", "high"))
         held = _held(table["bytes"], 2 * length - DIGIT)
         far, near = np.full(len(doc), -1), np.full(len(doc), length)
-        for j, value, exists in _window_hashes(held, low, high, length):
-            some = np.flatnonzero(exists)
-            order, least, _ = _smallest([value[some]], doc[some])
-            found = some[order][doc[some][order] > least]
+        for j in range(length - DIGIT + 1):
+            rows = np.flatnonzero((low >= j) & (high >= length - j))
+            found = _later_windows(held, doc, rows, length - DIGIT - j, length)
             far[found] = np.maximum(far[found], j)
             near[found] = np.minimum(near[found], j)
         some = np.flatnonzero(far >= 0)
@@ -289,32 +312,40 @@ def _sort_windows(length: int):
 def _deal_windows(length: int, buckets: int):
     """Windows around heavy anchors, dealt by their hash."""
 
+    left = length - DIGIT
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, row, at, low, high = (_numbers(batch, n) for n in ("doc", "row", "at", "low", "high"))
             held = _held(batch.column("bytes"), 2 * length - DIGIT)
-            parts = [
-                (value[exists], doc[exists], row[exists], (at - j)[exists].astype(np.int32))
-                for j, value, exists in _window_hashes(held, low, high, length)
-            ]
-            entry = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            order, least, _ = _smallest(entry[:1], entry[1])
-            settled = entry[1][order] > least
-            yield _dealt([
-                r for kind, part in (("settled", order[settled]), ("entry", order[~settled]))
-                for r in _deal_out(kind, entry[0][part], [c[part] for c in entry], buckets)])
+            for a in range(0, len(doc), HEAVY_ROWS):
+                some = slice(a, a + HEAVY_ROWS)
+                rows, places = np.nonzero(
+                    (low[some, None] >= np.arange(left + 1)) & (high[some, None] >= length - np.arange(left + 1)))
+                rows += a
+                windows = held[rows[:, None], (left - places)[:, None] + np.arange(length)]
+                begins = np.arange(len(rows)) * length
+                key = arrays.range_hashes(arrays.prefix_sums(windows.ravel()), begins, begins + length)
+                entry = [windows.view((np.void, length)).ravel(), doc[rows], row[rows],
+                         (at[rows] - places).astype(np.int32)]
+                settled = np.zeros(len(rows), bool)
+                settled[_later_windows(windows, entry[1], np.arange(len(rows)), 0, length)] = True
+                yield _dealt([
+                    *_deal_out("settled", _one_lot(row[some], settled), [c[settled] for c in entry[1:]], buckets),
+                    *_deal_out("entry", key[~settled], [c[~settled] for c in entry], buckets)])
 
     return arrays.tidy(deal)
 
 
 def _sort_heavy(length: int):
     def sort(table: pa.Table) -> pa.Table:
-        """Pass 2 on one bucket of windows of heavy digits."""
+        """The radix sort on one bucket of windows of heavy digits."""
 
-        window, doc, row, start = _unpack(table, "entry", WINDOW)
-        order, least, _ = _smallest([window], doc)
-        found = order[doc[order] > least]
-        _, s_doc, s_row, s_start = _unpack(table, "settled", WINDOW)
+        columns = _window_entry(length)
+        window, doc, row, start = _unpack(table, "entry", columns)
+        held = np.frombuffer(window.tobytes(), np.uint8).reshape(-1, length)
+        found = _later_windows(held, doc, np.arange(len(doc)), 0, length)
+        s_doc, s_row, s_start = _unpack(table, "settled", columns[1:])
         doc, row, start = (np.concatenate(p) for p in ((doc[found], s_doc), (row[found], s_row), (start[found], s_start)))
         return _span_table([(doc, row, start, start + length, False, False)])
 
@@ -351,11 +382,12 @@ def repeated_spans(documents: DataFrame, length: int = 50, id_column: str = "doc
     heavy = [r["digit"] for r in digits.where(F.col("n") > HEAVY * max(total / DIGITS, 64)).collect()]
     width = sum(np.dtype(k).itemsize for _, k in ENTRY)
     buckets = max(total * width // BUCKET_BYTES, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = total * width // TASK_BYTES
+    dealt = long_enough.mapInArrow(_deal_anchors(length, buckets, np.array(heavy, np.int64)), DEALT)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        dealt = dealt.repartition(parts, "bucket")
     first = store(
-        long_enough.mapInArrow(
-            _deal_anchors(length, buckets, np.array(heavy, np.int64)),
-            DEALT)
-        .groupBy("bucket").applyInArrow(arrays.tidy(_sort_bucket), SPANS))
+        dealt.groupBy("bucket").applyInArrow(arrays.tidy(_sort_bucket), SPANS))
     opened = first.where("open").groupBy("doc", "row", "heavy").agg(F.collect_set("start").alias("at"))
     around = store(
         opened.join(long_enough.dropDuplicates(["doc", "row"]), ["doc", "row"])

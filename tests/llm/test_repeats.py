@@ -1,6 +1,9 @@
 import hashlib
+import itertools
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from repograph.llm import repeats
@@ -83,6 +86,30 @@ def test_nulls_short_long_and_repeated_rows(spark):
     assert [r[:4] for r in found if r[0] == 7] == [(7, 1_200_000, 0, 0)] * 2
 
 
+@pytest.mark.parametrize("task_bytes", [1, 1 << 30])
+def test_partitions_follow_the_anchors(spark, monkeypatch, task_bytes):
+    monkeypatch.setattr(repeats, "TASK_BYTES", max(task_bytes, 1 << 13))
+    rows = corpus(4, 60)
+    assert result(spark, padded(rows)) == brute(rows, 50)
+
+
+def test_windows_that_differ_in_any_pass():
+    pick = random.Random(8)
+    rows = [bytes(pick.choices(b"ab", k=20)) for _ in range(400)]
+    rows += [bytes([*r[:i], 99, *r[i + 1:]]) for r, i in zip(rows, itertools.cycle(range(20)))]
+    rows += rows[::7]
+    doc = np.array([pick.randrange(50) for _ in rows])
+    held = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 20)
+    for first, length in ((0, 20), (3, 9), (2, 8), (5, 3)):
+        least = {}
+        for r, d in zip(rows, doc):
+            key = r[first:first + length]
+            least[key] = min(least.get(key, d), d)
+        wanted = [i for i, r in enumerate(rows) if doc[i] > least[r[first:first + length]]]
+        found = repeats._later_windows(held, doc, np.arange(len(rows)), first, length)
+        assert sorted(found.tolist()) == wanted
+
+
 def test_empty_table(spark):
     assert result(spark, []) == []
 
