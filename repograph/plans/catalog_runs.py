@@ -218,6 +218,134 @@ def view_rollup(spark, sf_dir):
     return rolled["aggregates"].drop("position")
 
 
+# --- answers on windows of neighbouring documents -----------------------------------------------
+
+
+# Relations of a window, its flows over calls (up the ids) or imports (down), and the budgets.  Flows
+# make only path groups superfluous, and all stored relations are relation groups.
+BLOCKS = """WITH chunks AS (SELECT coalesce(lang, 'und') || '-' || (doc_id // 12) AS question_id, doc_id AS id, source,
+      coalesce(toxic, 0) = 1 AS is_test, row_number() OVER (PARTITION BY coalesce(lang, 'und'), doc_id // 12
+        ORDER BY length(text) DESC, doc_id) AS rank,
+      doc_id - row_number() OVER (PARTITION BY coalesce(lang, 'und'), doc_id // 12 ORDER BY doc_id) AS run
+      FROM documents LEFT JOIN labels USING (doc_id)),
+    relations AS (SELECT question_id, id AS owner, id + 1 AS dst, 'CALLS' AS predicate, 0 AS position FROM chunks
+      UNION ALL SELECT question_id, id, id - 1, 'IMPORTS', 1 FROM chunks),
+    read AS (SELECT r.*, row_number() OVER (PARTITION BY r.question_id
+        ORDER BY n.rank, n.id <> owner, 'd' || owner, position) AS group_rank
+      FROM relations r JOIN chunks n ON r.question_id = n.question_id AND (n.id = owner OR n.id = dst)),
+    pool AS (SELECT *, bool_or(root) OVER (PARTITION BY question_id) AS some_root FROM (
+      SELECT *, id = min(id) OVER (PARTITION BY question_id, run) AS root,
+        bool_or(NOT is_test) OVER (PARTITION BY question_id) AS some_code FROM chunks)
+      WHERE NOT (some_code AND is_test)),
+    candidates AS (SELECT a.question_id, a.id AS a, t.id AS t, t.rank AS t_rank, a.rank AS a_rank,
+        least(a.id, t.id) AS low, greatest(a.id, t.id) AS high, sign(t.id - a.id) AS way
+      FROM pool a JOIN pool t ON a.question_id = t.question_id AND a.run = t.run AND abs(t.id - a.id) >= 2
+      WHERE a.root OR NOT a.some_root),
+    flows AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY t_rank, a_rank) AS group_rank
+      FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM candidates j WHERE j.question_id = c.question_id
+        AND j.way = c.way AND j.low <= c.low AND j.high >= c.high
+        AND (j.t_rank, j.a_rank) < (c.t_rank, c.a_rank)) QUALIFY group_rank <= 3),
+    steps AS (SELECT question_id, group_rank, hop, a + way * (hop - 1) AS owner, a + way * hop AS dst,
+        CASE way WHEN 1 THEN 'CALLS' ELSE 'IMPORTS' END AS predicate
+      FROM (SELECT *, unnest(range(1, high - low + 1)) AS hop FROM flows)),
+    budgets AS (SELECT question_id, group_rank, 30 - coalesce(sum(high - low) OVER (PARTITION BY question_id
+      ORDER BY group_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS budget FROM flows),
+    path_hops AS (SELECT s.* FROM steps s JOIN budgets USING (question_id, group_rank) WHERE hop <= budget),
+    used AS (SELECT question_id, count(*) AS used FROM path_hops GROUP BY 1),
+    hops AS (SELECT question_id, 'path' AS list, group_rank, hop, owner, dst, predicate FROM path_hops
+      UNION ALL SELECT question_id, 'relation', group_rank, 1, owner, dst, predicate FROM (
+        SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY group_rank) AS place FROM read)
+        LEFT JOIN used USING (question_id) WHERE place <= 30 - coalesce(used, 0)),
+    charted AS MATERIALIZED (SELECT h.*, c.source AS source_group, t.source AS target_group, t.id IS NOT NULL AS fine
+      FROM hops h JOIN chunks c ON c.question_id = h.question_id AND c.id = owner
+      LEFT JOIN chunks t ON t.question_id = h.question_id AND t.id = dst),
+    edges AS (SELECT question_id, owner, dst, predicate, source_group, target_group
+      FROM charted WHERE fine GROUP BY ALL)"""
+
+
+def _block_answers(spark, sf_dir):
+    """Answers of ``BLOCKS``: grounded relations, flows, covered groups and budgets of all windows at once."""
+
+    def build():
+        chunks = cut(fixtures.block_chunks(spark, sf_dir))
+        relations = answer.card_relations(fixtures.linked_cards(spark, sf_dir))
+        groups, triplets = answer.relation_groups(cut(answer.read_relations(relations, chunks)))
+        expected = chunks.select("question_id").distinct().withColumn("revision_id", F.lit("r1"))
+        return answer.answer(chunks, cut(groups), cut(triplets), expected)
+
+    return fixtures.once(spark, (sf_dir, "block answers"), build)
+
+
+def _longs(df, *names):
+    return df.withColumns({n: F.col(n).cast("bigint") for n in names})
+
+
+@register(
+    "block_hops",
+    f"""{BLOCKS} SELECT question_id, list, group_rank, hop::BIGINT AS hop, 'd' || owner AS source_node,
+      CASE WHEN fine THEN 'd' ELSE 'repo:docs:d' END || dst AS target_node, predicate FROM charted""",
+)
+def block_hops(spark, sf_dir):
+    found = _block_answers(spark, sf_dir)["triplets"].select(
+        "question_id", "list", "group_rank", "hop", "source_node", "target_node",
+        F.col("relation.predicate").alias("predicate"))
+    return _longs(found, "group_rank", "hop")
+
+
+@register(
+    "block_funnel",
+    f"""{BLOCKS}, kept AS (SELECT question_id, count(DISTINCT group_rank) FILTER (list = 'path') AS kept_paths,
+        count(DISTINCT group_rank) FILTER (list = 'relation') AS kept_relations, count(*) AS hops FROM hops GROUP BY 1),
+      made AS (SELECT question_id, count(*) AS made FROM flows GROUP BY 1),
+      given AS (SELECT question_id, count(*) AS given FROM read GROUP BY 1)
+    SELECT question_id, 'ok' AS outcome, count(*) AS raw_chunks, 0::BIGINT AS raw_paths, any_value(given) AS raw_relations,
+      0::BIGINT AS dropped_paths, 0::BIGINT AS dropped_relations, coalesce(any_value(made), 0) AS assembled_paths,
+      any_value(kept_paths) AS kept_paths, any_value(kept_relations) AS kept_relations, any_value(hops) AS hops
+    FROM chunks JOIN kept USING (question_id) JOIN given USING (question_id) LEFT JOIN made USING (question_id)
+    GROUP BY 1""",
+)
+def block_funnel(spark, sf_dir):
+    return _block_answers(spark, sf_dir)["funnel"]
+
+
+@register(
+    "block_view",
+    f"""{BLOCKS}, ends AS (SELECT question_id, id, min((list, group_rank, hop, n)) AS seen FROM (
+        SELECT *, unnest([owner, dst]) AS id, unnest([0, 1]) AS n FROM charted WHERE fine) GROUP BY 1, 2),
+      shown AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY seen) AS place FROM ends),
+      counted AS (SELECT question_id, count(*) AS n FROM shown GROUP BY 1),
+      eligible AS (SELECT e.question_id, count(*) AS m FROM edges e
+        JOIN shown s ON s.question_id = e.question_id AND s.id = owner AND s.place <= 6
+        JOIN shown t ON t.question_id = e.question_id AND t.id = dst AND t.place <= 6 GROUP BY 1)
+    SELECT question_id, least(n, 6) AS returned_nodes, least(coalesce(m, 0), 8) AS returned_edges,
+      n > 6 OR coalesce(m, 0) > 8 AS truncated, (SELECT count(*) FROM charted c
+        WHERE c.question_id = counted.question_id AND NOT fine) AS omitted_hops, least(n, 6) AS nodes,
+      NULL::VARCHAR AS outcome FROM counted LEFT JOIN eligible USING (question_id)""",
+)
+def block_view(spark, sf_dir):
+    shown = answers.view(_block_answers(spark, sf_dir), max_nodes=6, max_edges=8)
+    found = shown["budget"].join(shown["diagnostics"], "question_id")
+    return _longs(found, "returned_nodes", "returned_edges", "nodes")
+
+
+@register(
+    "block_rollup",
+    f"""{BLOCKS}, grouped AS (SELECT question_id, 'package_' || substring(sha256(source_group), 1, 24) AS source_group,
+        predicate, 'package_' || substring(sha256(target_group), 1, 24) AS target_group
+      FROM edges WHERE source_group <> target_group)
+    SELECT question_id, 'aggregate_' || substring(sha256(source_group || ':' || predicate || ':' || target_group), 1, 24)
+      AS id, source_group, predicate, target_group, count(*) AS exact_relation_count, count(*) AS evidence_count
+    FROM grouped GROUP BY ALL""",
+)
+def block_rollup(spark, sf_dir):
+    """The symbol views of all windows rolled up to the documents' sources."""
+
+    found = _block_answers(spark, sf_dir)
+    symbols = views.symbol_view(found["triplets"], cut(views.grounding(found["chunks"])))
+    rolled = views.view_rollup(symbols["nodes"], symbols["edges"], "package")["aggregates"].drop("position")
+    return _longs(rolled, "evidence_count")
+
+
 # --- the three conditions ---------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from repograph import constants as K
 from repograph.functions import ids, text
@@ -771,6 +772,18 @@ def linked_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     }).drop("proof")
 
 
+def block_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one answer window: the documents of a language among twelve ids, longest first."""
+
+    langs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"),
+        F.concat_ws("-", F.coalesce("lang", F.lit("und")), F.expr("doc_id div 12").cast("string")).alias("question_id"),
+        F.length("text").alias("size"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("size"), "doc_no")
+    return linked_cards(spark, sf_dir).join(langs, "source_id").withColumns(
+        {"rank": F.row_number().over(order), "score": F.lit(None).cast("double")}).drop("size")
+
+
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test-last answer window of every question; stored, as several queries use it."""
 
