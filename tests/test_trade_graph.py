@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from repograph.operators import diff
 from repograph.plans import fixtures
 from repograph.session import run_folder
 
@@ -37,3 +38,20 @@ def test_lines_without_a_status_join_the_inferred_ones(spark, tmp_path):
         .select("quality", F.size("evidence").alias("n")).collect()}
     assert sizes("before") == {"inferred": 2, "exact": 1}
     assert sizes("after") == {"inferred": 2, "exact": 1}
+
+
+def test_changes_without_records_move_no_record(spark):
+    node = {name: "x" for name in ("body_fingerprint", "docstring", "attributes_json", "content_hash", "parser",
+                                   "parser_version", "path", "signature", "display_name")}
+    schema = "repository_id string, id string, is_test boolean, is_entry_point boolean, entry_reasons array<string>, " \
+             "span struct<start_line: int>, " + ", ".join(f"{name} string" for name in node)
+    row = lambda key, **other: {"repository_id": "r", "id": key, "is_test": False, "is_entry_point": False,
+                                "entry_reasons": None, "span": (1,), **node, **other}
+    before = spark.createDataFrame([row("a"), row("b"), row("c"), row("d", signature=None)], schema)
+    after = spark.createDataFrame([row("a"), row("b", signature="y", docstring=None), row("d", signature=""), row("e")], schema)
+    found = diff.node_changes(before, after).select("id", "change", "changed_fields")
+    assert "display_name" not in found._jdf.queryExecution().optimizedPlan().toString().replace(
+        "LogicalRDD", "").split("Project", 2)[1]
+    assert {(r["id"], r["change"], tuple(r["changed_fields"])) for r in found.collect()} == {
+        ("b", "modified", ("attributes", "signature")), ("c", "removed", ()), ("d", "modified", ("signature",)),
+        ("e", "added", ())}
