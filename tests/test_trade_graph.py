@@ -2,10 +2,11 @@
 
 import os
 
+import duckdb
 from pyspark.sql import functions as F
 
 from repograph.operators import diff
-from repograph.plans import fixtures
+from repograph.plans import catalog, catalog_evolution, fixtures
 from repograph.session import run_folder
 
 
@@ -55,3 +56,22 @@ def test_changes_without_records_move_no_record(spark):
     assert {(r["id"], r["change"], tuple(r["changed_fields"])) for r in found.collect()} == {
         ("b", "modified", ("attributes", "signature")), ("c", "removed", ()), ("d", "modified", ("signature",)),
         ("e", "added", ())}
+
+
+def test_a_file_without_a_current_path_is_unresolved_in_query_and_sql(spark, tmp_path):
+    source, folder = "/root/testdata/sf0.001", str(tmp_path)
+    for name in ("region", "nation", "customer", "supplier", "part"):
+        os.symlink(f"{source}/{name}.parquet", f"{folder}/{name}.parquet")
+    # Orders that end in 1 are missing in the second revision, so their customers have no path there.
+    keys = spark.read.parquet(f"{source}/orders.parquet").where("o_orderkey % 10 = 1 OR o_custkey % 3 = 0")
+    keys.coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    lines = spark.read.parquet(f"{source}/lineitem.parquet").where("l_linestatus = 'F'")
+    lines.coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    got = {tuple(r) for r in catalog_evolution.lens_drift(spark, folder).collect()}
+    con = duckdb.connect()
+    for name in ("region", "nation", "customer", "supplier", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{source}/{name}.parquet'")
+    for name in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    assert got == set(con.execute(catalog.SQL["lens_drift"]).fetchall())
+    assert "unresolved" in {row[3] for row in got}
