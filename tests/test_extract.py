@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from repograph.operators import resolve, validate
+from repograph.operators import extract, resolve, validate
 from repograph.plans import index
 from repograph.sources import files as sources
 
@@ -186,3 +186,13 @@ def test_hot_names_are_dealt_over_lots(spark):
     lot = F.pmod(F.hash("path", "site"), F.lit(resolve.NAME_LOTS))
     sizes = [r["count"] for r in tried.where("candidate = 'util.size'").groupBy(lot).count().collect()]
     assert len(sizes) == resolve.NAME_LOTS and max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_files_of_few_bytes_are_parsed_by_all_cores(spark):
+    files = spark.range(400).select(
+        F.lit("r").alias("repository_id"), F.lit("r1").alias("revision_id"),
+        F.concat(F.lit("a/m"), F.col("id"), F.lit(".py")).alias("path"),
+        F.encode(F.concat(F.lit("def f"), F.col("id"), F.lit("():\n    pass\n")), "UTF-8").alias("content"),
+        F.lit("python").alias("language"), F.lit(False).alias("is_test"))
+    facts = extract.new_facts(files).withColumn("task", F.spark_partition_id())
+    assert facts.agg(F.countDistinct("task")).first()[0] >= min(spark.sparkContext.defaultParallelism, 4)
