@@ -5,7 +5,7 @@ import os
 import duckdb
 from pyspark.sql import functions as F
 
-from repograph.operators import diff
+from repograph.operators import diff, evolution
 from repograph.plans import catalog, catalog_evolution, fixtures
 from repograph.session import run_folder
 
@@ -58,6 +58,24 @@ def test_changes_without_records_move_no_record(spark):
         ("e", "added", ())}
 
 
+def test_keys_of_facts_are_those_of_whole_facts_and_hold_no_record(spark):
+    source = "/root/testdata/sf0.001"
+    nodes = [fixtures.trade_nodes(spark, source, r) for r in ("before", "after")]
+    edges = [fixtures.trade_edges(spark, source, r) for r in ("before", "after")]
+    delta = diff.compare(nodes[0], edges[0], nodes[1], edges[1], with_cycles=False, with_proofs=True)
+    keys, whole = evolution.fact_keys(delta, "before", "after"), evolution.change_facts(delta, *nodes, "before", "after")
+    rows = lambda table, *columns: sorted(table.select(*columns).collect(), key=repr)
+    same = ("fact_id", "kind", "quality", "confidence", "explanation")
+    assert rows(keys, *same) == rows(whole, *same) != []
+    graph = ("fact_id", "source", "target", "predicate", "context")
+    assert rows(evolution.fact_relations(keys), *graph) == rows(evolution.fact_relations(whole), *graph)
+    first = F.coalesce(F.get("before_nodes", F.lit(0)), F.get("after_nodes", F.lit(0)))["path"].alias("path")
+    assert rows(evolution.with_paths(keys, *nodes), "fact_id", "path") == rows(whole, "fact_id", first)
+    plain = diff.compare(nodes[0], edges[0], nodes[1], edges[1], with_cycles=False)
+    assert plain["edge_marks"].schema["before"].dataType.names == ["source_id", "predicate", "target_id", "quality"]
+    assert "content_hash" not in plain["node_marks"].schema["before"].dataType.names
+
+
 def test_a_file_without_a_current_path_is_unresolved_in_query_and_sql(spark, tmp_path):
     source, folder = "/root/testdata/sf0.001", str(tmp_path)
     for name in ("region", "nation", "customer", "supplier", "part"):
