@@ -84,6 +84,17 @@ def test_cards_are_read_for_their_text_and_size_without_gathered_relations(spark
     assert "collect_set" not in plan and plan.count("collect_list") == 1
 
 
+def test_change_cards_are_made_once_for_the_queries_that_read_them(spark, monkeypatch):
+    source, calls = "/root/testdata/sf0.001/", []
+    for module, name in ((evolution, "change_cards"), (diff, "compare")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, _real=real, _name=name, **k: (calls.append(_name), _real(*a, **k))[1])
+    found = catalog_evolution.change_round_trip(spark, source)
+    checks = catalog_evolution.stored_event_checks(spark, source)
+    assert sorted(calls) == ["change_cards", "compare"]
+    assert found.select("repository_id").distinct().count() == checks.count() > 0
+
+
 def test_a_file_without_a_current_path_is_unresolved_in_query_and_sql(spark, tmp_path):
     source, folder = "/root/testdata/sf0.001", str(tmp_path)
     for name in ("region", "nation", "customer", "supplier", "part"):
