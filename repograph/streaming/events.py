@@ -87,63 +87,79 @@ def stream_tracks(events: DataFrame) -> DataFrame:
 
 
 SESSION_ROWS = "session_id STRING, revision_id STRING, state STRING, late_events BIGINT"
-# Positions are (microseconds, seq); a start also names its revision.
+# The state of a bucket of sessions, a row per session.  Positions are (microseconds, seq); a start also names its
+# revision, and ``expires`` (milliseconds) is when the session is forgotten.
 SESSION_STATE = (
-    "revision_id STRING, start_at BIGINT, start_seq BIGINT, end_at BIGINT, end_seq BIGINT, "
-    "settled_late BIGINT, recent_at ARRAY<BIGINT>, recent_seq ARRAY<BIGINT>"
+    "held ARRAY<STRUCT<session_id: STRING, revision_id: STRING, start_at: BIGINT, start_seq: BIGINT, "
+    "end_at: BIGINT, end_seq: BIGINT, settled_late: BIGINT, expires: BIGINT, recent_at: ARRAY<BIGINT>, "
+    "recent_seq: ARRAY<BIGINT>>>"
 )
 FIRST, LAST = -(2**63), 2**63 - 1
+#: State keys: a call of the worker costs about as much as some hundred events, so it takes a bucket of sessions.
+SESSION_BUCKETS = 1024
 
 
 def _session(idle_ms: int):
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Earliest start, earliest end and the events behind it, whatever order rows come in.
+        """Earliest start, earliest end and the events behind it of each session, whatever order rows come in.
 
         An end below the watermark is final, so events below it are only counted.
         """
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        revision, start_at, start_seq, end_at, end_seq, late, times, seqs = (
-            state.get if state.exists else (None, LAST, LAST, LAST, LAST, 0, [], []))
-        start, end = (start_at, start_seq), (end_at, end_seq)
-        recent = list(zip(times, seqs))
-        newest = FIRST
-        for batch in batches:
-            micros = batch["timestamp"].to_numpy("datetime64[us]").astype("int64").tolist()
-            for at, seq, kind, of in zip(micros, batch["seq"].tolist(), batch["type"], batch["revision_id"]):
+        watermark = state.getCurrentWatermarkMs()
+        settled = (watermark * 1000, FIRST)
+        held = {row[0]: row[1:] for row in state.get[0]} if state.exists else {}
+        touched: dict[str, list[tuple]] = {}
+        if not state.hasTimedOut:
+            for batch in batches:
+                micros = batch["timestamp"].to_numpy("datetime64[us]").astype("int64").tolist()
+                for session, at, seq, kind, of in zip(
+                        batch["session_id"], micros, batch["seq"].tolist(), batch["type"], batch["revision_id"]):
+                    touched.setdefault(session, []).append((at, seq, kind, of))
+        out = []
+        for session, events in touched.items():
+            revision, start_at, start_seq, end_at, end_seq, late, _, times, seqs = held.get(
+                session, (None, LAST, LAST, LAST, LAST, 0, 0, (), ()))
+            start, end = (start_at, start_seq), (end_at, end_seq)
+            recent = list(zip(times, seqs))
+            newest = FIRST
+            for at, seq, kind, of in events:
                 recent.append((at, seq))
                 newest = max(newest, at)
                 if kind == "session_started" and (at, seq) < start:
                     start, revision = (at, seq), of
                 elif kind == "session_completed":
                     end = min(end, (at, seq))
-        settled = (state.getCurrentWatermarkMs() * 1000, FIRST)
-        late += sum(end < p < settled for p in recent)
-        recent = [p for p in recent if p >= settled]
-        state.update((
-            revision, *start, *end, late, [p[0] for p in recent], [p[1] for p in recent]))
-        state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + idle_ms)
-        name = "unknown" if start[0] == LAST else "active" if end[0] == LAST else "completed"
-        yield pd.DataFrame(
-            [(key[0], revision, name, late + sum(p > end for p in recent))],
-            columns=["session_id", "revision_id", "state", "late_events"])
+            late += sum(end < p < settled for p in recent)
+            recent = [p for p in recent if p >= settled]
+            held[session] = (revision, *start, *end, late, max(newest // 1000, watermark) + idle_ms,
+                             [p[0] for p in recent], [p[1] for p in recent])
+            name = "unknown" if start[0] == LAST else "active" if end[0] == LAST else "completed"
+            out.append((session, revision, name, late + sum(p > end for p in recent)))
+        held = {session: row for session, row in held.items() if session in touched or row[6] >= watermark}
+        if held:
+            state.update(([(session, *row) for session, row in held.items()],))
+            state.setTimeoutTimestamp(max(min(row[6] for row in held.values()), watermark + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "revision_id", "state", "late_events"])
 
     return advance
 
 
-def session_state(events: DataFrame, idle: str = "1 day") -> DataFrame:
+def session_state(events: DataFrame, idle: str = "1 day", buckets: int = SESSION_BUCKETS) -> DataFrame:
     """Lifecycle of each session after every trigger that touched it, as the batch operator has it.
 
     ``events`` has a watermark on ``timestamp``.  A session without events for ``idle`` beyond the
-    watermark is forgotten.
+    watermark is forgotten.  The state keys are ``buckets`` of sessions, a number that stays for the life of a checkpoint.
     """
 
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     return (
         events.select("session_id", "type", "revision_id", "timestamp", "seq")
-        .groupBy("session_id")
+        .withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)))
+        .groupBy("bucket")
         .applyInPandasWithState(
             _session(idle_ms), SESSION_ROWS, SESSION_STATE, "update", GroupStateTimeout.EventTimeTimeout
         )

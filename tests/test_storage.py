@@ -129,3 +129,49 @@ def test_hubs_keep_all_relations_on_several_cards(spark, monkeypatch):
     assert cards.unfit_relations(nodes, edges).count() == 0
     long = made.withColumn("qualified_name", F.repeat(F.lit("x"), 2000))
     assert cards.card_records(long).count() == 0 and cards.unfit_cards(long).count() == 108
+
+
+class HeldState:
+    """A state key between triggers."""
+
+    def __init__(self):
+        self.value, self.watermark, self.hasTimedOut, self.timeout = None, 0, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.watermark
+        self.timeout = at
+
+
+def test_a_bucket_of_sessions_is_one_state_key_and_forgets_each_by_itself():
+    import pandas as pd
+
+    follow, state = streaming._session(60_000), HeldState()
+
+    def trigger(*rows):
+        frame = pd.DataFrame([(s, k, "r1", pd.Timestamp(at, unit="s"), n) for n, (s, k, at) in enumerate(rows)],
+                             columns=["session_id", "type", "revision_id", "timestamp", "seq"])
+        return {tuple(r) for out in follow((7,), iter([frame] if rows else []), state) for r in out.to_numpy().tolist()}
+
+    assert trigger(("a", "session_started", 10), ("b", "session_completed", 20), ("b", "query_started", 25)) == {
+        ("a", "r1", "active", 0), ("b", None, "unknown", 1)}
+    assert trigger(("b", "session_started", 5), ("c", "session_started", 90)) == {
+        ("b", "r1", "completed", 1), ("c", "r1", "active", 0)}
+    state.watermark = 71_000
+    assert trigger(("b", "query_started", 80)) == {("b", "r1", "completed", 2)}
+    assert {row[0] for row in state.value[0]} == {"b", "c"} and state.timeout == 140_000
+    state.watermark, state.hasTimedOut = 140_500, True
+    assert trigger() == set() and {row[0] for row in state.value[0]} == {"c"} and state.timeout == 150_000
+    state.watermark = 150_500
+    assert trigger() == set() and not state.exists
