@@ -196,3 +196,19 @@ def test_files_of_few_bytes_are_parsed_by_all_cores(spark):
         F.lit("python").alias("language"), F.lit(False).alias("is_test"))
     facts = extract.new_facts(files).withColumn("task", F.spark_partition_id())
     assert facts.agg(F.countDistinct("task")).first()[0] >= min(spark.sparkContext.defaultParallelism, 4)
+
+
+def test_structure_is_told_without_resolving_names(spark, monkeypatch):
+    from repograph.operators import resolve
+    from repograph.plans import catalog_code
+
+    def refuse(*_):
+        raise AssertionError("names are resolved")
+
+    source = "/root/testdata/sf0.001/./"
+    with monkeypatch.context() as held:
+        held.setattr(resolve, "resolve_names", refuse)
+        held.setattr(resolve, "symbol_nodes", refuse)
+        found = {tuple(r) for r in catalog_code.extracted_structure(spark, source).collect()}
+    edges = catalog_code._indexed(spark, source)["edges"].where("predicate IN ('CONTAINS', 'DEFINES')")
+    assert found == {tuple(r) for r in edges.groupBy("predicate").count().collect()} and len(found) == 2
