@@ -203,11 +203,32 @@ def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return order.groupby("question", sort=False).head(k).drop(columns="place")
 
 
-def _score_documents(asked: pa.Table, k: int):
+def _asked_terms(known: pa.Array):
+    """The terms of whole documents that questions ask for, by the number of their word."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column("terms")
+            rows = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy())
+            flat = terms.flatten()
+            place = pc.index_in(flat.field("token"), value_set=known)
+            found = place.is_valid()
+            ends = np.searchsorted(rows[found.to_numpy(zero_copy_only=False)], np.arange(len(batch) + 1))
+            held = pa.StructArray.from_arrays(
+                [place.filter(found), flat.field("amount").filter(found)], ["token", "amount"])
+            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)], batch.schema.names)
+
+    return keep
+
+
+def _score_documents(asked: pa.Table, k: int, numbered: bool = False):
     """Cosines of whole documents with all asked questions; each task passes on its k best.
 
     The questions' weights are kept as postings of each token, and documents are scored in slices of at most
     ``CELLS`` scores and about as many products, so memory follows the block's rows and never tokens x questions.
+    ``numbered`` terms hold the numbers that :func:`_asked_terms` gives to the words of this ``asked``.
     """
 
     tokens, ids = (asked[c].combine_chunks().dictionary_encode() for c in ("token", "question_id"))
@@ -243,7 +264,7 @@ def _score_documents(asked: pa.Table, k: int):
                 terms = part.column("terms")
                 rows = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy())
                 flat = terms.flatten()
-                place = pc.index_in(flat.field("token"), value_set=known)
+                place = flat.field("token") if numbered else pc.index_in(flat.field("token"), value_set=known)
                 found = place.is_valid().to_numpy(zero_copy_only=False)
                 total, norm = (part.column(c).to_numpy() for c in ("total", "doc_norm"))
                 amount = flat.field("amount").to_numpy()[found]
@@ -277,7 +298,7 @@ class RankIndex:
     keys: list[str]
     rows: DataFrame
     frequencies: DataFrame
-    documents: DataFrame
+    norms: DataFrame
 
 
 def _indexed(rows: DataFrame, keys: list[str]) -> RankIndex:
@@ -293,7 +314,7 @@ def _indexed(rows: DataFrame, keys: list[str]) -> RankIndex:
     near = split.where("hot IS NOT NULL").groupBy(*name).agg(F.sum(square("hot")).alias("part"))
     far = split.where("hot IS NULL").join(idf, [*keys, "token"]).groupBy(*name).agg(F.sum(square("idf")).alias("part"))
     norms = near.unionByName(far).groupBy(*name).agg(F.sqrt(F.sum("part")).alias("doc_norm"))
-    return RankIndex(keys, rows, idf, rows.join(norms, name))
+    return RankIndex(keys, rows, idf, norms)
 
 
 def build_index(docs: DataFrame, keys: list[str] | None = None) -> RankIndex:
@@ -338,25 +359,35 @@ def search_index(index: RankIndex, questions: DataFrame, k: int) -> DataFrame:
     size = asked.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("asked_by").alias("questions")).head()
     blocks = 1 + max(size["rows"] // ASKED_ROWS, size["questions"] * k // HELD_ROWS)
     block = F.pmod(F.xxhash64("asked_by"), F.lit(blocks))
-    normed = index.documents.select(*keys, "document_id", "total", "terms", "doc_norm")
-    if keys:
-        normed = normed.withColumn("terms", F.transform(
+    def words(terms: DataFrame) -> DataFrame:
+        return terms if not keys else terms.withColumn("terms", F.transform(
             "terms", lambda t: F.struct(F.concat(corpus, F.lit(WITHIN), t["token"]).alias("token"), t["amount"].alias("amount"))))
-    normed = normed.select("document_id", "total", "terms", "doc_norm")
-    if blocks > 1:
-        normed = cut(normed)
-    kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema.fields, *normed.schema.fields]}
+
+    name = [*keys, "document_id"]
+    held = words(index.rows.select(*name, "total", "terms"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*asked.schema.fields, *held.schema.fields]}
     schema = f"question_id {kinds['asked_by']}, document_id {kinds['document_id']}, score double"
+    read = lambda rows: rows.select(F.col("asked_by").alias("question_id"), "token", "idf", "weight").toArrow()
+    columns = ["document_id", "total", "terms", "doc_norm"]
     found = None
-    for number in range(blocks):
-        part = asked.where(block == number).select(F.col("asked_by").alias("question_id"), "token", "idf", "weight").toArrow()
+    if blocks == 1:
+        part = read(asked)
         if len(part):
-            scored = normed.mapInArrow(_score_documents(part, k), schema)
-            scored = cut(scored) if blocks > 1 else scored
-            found = scored if found is None else found.unionByName(scored)
+            # Terms meet their norms by a shuffle, so only those that some question asks for go there, as numbers.
+            known = part["token"].combine_chunks().dictionary_encode().dictionary
+            form = ", ".join(f"`{c}` {kinds[c]}" for c in [*name, "total"]) + ", terms array<struct<token:int,amount:int>>"
+            asked_of = held.mapInArrow(_asked_terms(known), form).where(F.size("terms") > 0)
+            found = asked_of.join(index.norms, name).select(*columns).mapInArrow(_score_documents(part, k, True), schema)
+    else:
+        normed = cut(held.join(index.norms, name).select(*columns))
+        for number in range(blocks):
+            part = read(asked.where(block == number))
+            if len(part):
+                scored = cut(normed.mapInArrow(_score_documents(part, k), schema))
+                found = scored if found is None else found.unionByName(scored)
     if found is None:
         found = asked.select(F.col("asked_by").alias("question_id")).join(
-            normed.select("document_id"), F.lit(False)).withColumn("score", F.lit(0.0))
+            held.select("document_id"), F.lit(False)).withColumn("score", F.lit(0.0))
     best = top_ranked(found, k)
     if not keys:
         return best
@@ -409,9 +440,9 @@ def card_filter(
 def _chunks(cards: DataFrame, ranked: DataFrame) -> DataFrame:
     """Cards of ranked rows.  Content joins only here, for at most k rows per question."""
 
-    return ranked.select("question_id", "rank", "score", F.col("document_id").alias("source_id")).join(
-        cards, "source_id"
-    )
+    # Written first, so the planner knows how few rows they are and leaves the contents in place.
+    best = cut(ranked.select("question_id", "rank", "score", F.col("document_id").alias("source_id")))
+    return best.join(cards, "source_id")
 
 
 def rank_cards(cards: DataFrame, questions: DataFrame, k: int) -> DataFrame:

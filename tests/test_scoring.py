@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from repograph.operators import evaluation
@@ -45,3 +46,22 @@ def test_complete_run_allows_claims(spark):
     unpaired = records.withColumn("plan", F.concat("plan", "condition"))
     assert {r.reason for r in evaluation.completeness(unpaired, questions, expected).collect()} == {
         "q1:plans_not_paired", "q2:plans_not_paired"}
+
+
+def test_only_asked_words_meet_the_norms(spark):
+    from repograph.operators import retrieval
+
+    rows = [("r1", f"d{i}", f"alpha w{i} w{i} beta" if i % 2 else f"w{i} rest") for i in range(20)] + [("r2", "d1", "beta"), ("r1", "none", None)]
+    docs = spark.createDataFrame(rows, "repo string, document_id string, content string")
+    questions = spark.createDataFrame([("r1", "q1", "alpha w3"), ("r2", "q1", "alpha beta")], "repo string, question_id string, question string")
+    for keys in ([], ["repo"]):
+        one = questions if keys else questions.limit(1)
+        index = retrieval.build_index(docs if keys else docs.where("repo = 'r1'"), keys)
+        found = retrieval.search_index(index, one, 3)
+        best = {(tuple(r[k] for k in keys), r.question_id, r["rank"], r.document_id) for r in found.collect()}
+        first = ("r1",) if keys else ()
+        assert {x for x in best if x[0] == first and x[1] == "q1"} == {(first, "q1", 1, "d3"), (first, "q1", 2, "d1"), (first, "q1", 3, "d11")}
+    sent = next(retrieval._asked_terms(pa.array(["alpha", "w3"]))(iter(
+        [b for b in index.rows.where("document_id IN ('d3', 'none', 'd2')").select("document_id", "total", "terms").toArrow().combine_chunks().to_batches()])))
+    held = dict(zip(sent.column("document_id").to_pylist(), sent.column("terms").to_pylist()))
+    assert sorted((t["token"], t["amount"]) for t in held["d3"]) == [(0, 1), (1, 2)] and held["none"] == held["d2"] == []
