@@ -20,6 +20,8 @@ from repograph.operators.retrieval import dedupe_ranked
 from repograph.session import cut
 
 GROUP = ["question_id", "list", "group_rank"]
+#: What the steps of an answer read of its chunks.
+CHUNK_STEPS = ["question_id", "rank", "chunk_id", "source_id", "node_id", "logical_id", "is_test", "is_entry_point"]
 
 
 def budget_context(chunks: DataFrame, limit: int, order: list[str] | None = None) -> DataFrame:
@@ -492,7 +494,8 @@ def answer(
     """Gate, ground, order and budget the answers of a batch of questions.
 
     ``questions`` has (question_id, revision_id or null).  Returns ``status``, ``chunks``,
-    ``groups``, ``triplets``, ``funnel``.
+    ``groups``, ``triplets``, ``funnel``.  The steps store what they read of the chunks; contents join the returned
+    ``chunks`` when these are read, and chunks without ``content`` come back as they are.
     """
 
     gate = revision_gate(chunks, questions, sources)
@@ -516,7 +519,8 @@ def answer(
         triplets = restore_origin(triplets, chunks, owned_sources)
 
     # Each step is read several times below and holds one bounded answer per question.
-    chunks = cut(chunks)
+    whole = chunks
+    chunks = cut(chunks.select(*[c for c in chunks.columns if c in CHUNK_STEPS]))
     kept = cut(grounded_groups(groups, triplets, chunks))
     kept_triplets = cut(resolve_entities(triplets.join(kept, GROUP, "left_semi"), chunks))
     flows, flow_triplets = paths.assemble_flows(
@@ -567,7 +571,7 @@ def answer(
     out_groups = all_groups.join(hops, GROUP, "left_semi")
     return {
         "status": status,
-        "chunks": budget_context(chunks, max_context_chars),
+        "chunks": budget_context(whole, max_context_chars) if "content" in whole.columns else whole,
         "groups": out_groups,
         "triplets": hops,
         "funnel": funnel(status, chunks, groups, kept, flows, out_groups, hops),

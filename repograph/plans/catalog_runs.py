@@ -267,7 +267,8 @@ def _block_answers(spark, sf_dir):
     """Answers of ``BLOCKS``: grounded relations, flows, covered groups and budgets of all windows at once."""
 
     def build():
-        chunks = cut(fixtures.block_chunks(spark, sf_dir))
+        # No query on these windows reads the documents' texts, so none of them is moved.
+        chunks = cut(fixtures.block_chunks(spark, sf_dir).drop("content", "entities", "relations"))
         relations = answer.card_relations(fixtures.linked_cards(spark, sf_dir))
         groups, triplets = answer.relation_groups(cut(answer.read_relations(relations, chunks)))
         expected = chunks.select("question_id").distinct().withColumn("revision_id", F.lit("r1"))

@@ -278,3 +278,19 @@ def test_covered_groups_by_their_rarest_relation(spark):
     gone = {("q", "path", i) for i, rids in enumerate(sets) if real(rids) and any(real(rids) <= real(f) for f in flows)}
     kept = {tuple(r) for r in answer.drop_covered(groups, triplets, assembled).collect()}
     assert 0 < len(gone) < len(sets) and kept == {tuple(r) for r in groups.collect()} - gone
+
+
+def test_steps_of_an_answer_store_no_contents(spark, monkeypatch):
+    from repograph.operators import answer
+    from repograph.plans import fixtures
+
+    source, stored = "/root/testdata/sf0.001", []
+    chunks = fixtures.block_chunks(spark, source).where("question_id LIKE 'en-%'")
+    relations = answer.card_relations(fixtures.linked_cards(spark, source))
+    groups, triplets = answer.relation_groups(answer.read_relations(relations, chunks))
+    expected = chunks.select("question_id").distinct().withColumn("revision_id", F.lit("r1"))
+    real = answer.cut
+    monkeypatch.setattr(answer, "cut", lambda df: (stored.append(df.columns), real(df))[1])
+    found = answer.answer(chunks, groups, triplets, expected)
+    assert stored and not any({"content", "entities", "relations"} & set(columns) for columns in stored)
+    assert found["chunks"].count() == chunks.count() > 0 and "content_truncated" in found["chunks"].columns
