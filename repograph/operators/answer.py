@@ -361,7 +361,8 @@ def read_relations(
         .agg(F.min("rank").alias("rank"))
     )
     by_rank = Window.partitionBy("question_id").orderBy("rank", "source_id")
-    best = best.withColumn("place", F.row_number().over(by_rank)).where(F.col("place") <= sources)
+    # Written first, so the planner knows how few rows they are and the relations stay in place.
+    best = cut(best.withColumn("place", F.row_number().over(by_rank)).where(F.col("place") <= sources))
     keys = ["repository_id", "revision_id"]
     ends = relations.withColumn(
         "node_id", F.explode(F.array_distinct(F.array("source_node", "target_node")))
@@ -437,6 +438,8 @@ def complete_window(
 
     pool = cards if tests == "only" else cards.where(~F.col("is_test"))
     chunks = cut(chunks)
+    # The pool is the same in all rounds, so it is indexed once.
+    index = retrieval.build_index(pool.select(F.col("source_id").alias("document_id"), "content"))
     for _ in range(rounds):
         outside = outside_endpoints(read_relations(relations, chunks))
         known = cards.select("logical_id", "qualified_name").distinct()
@@ -453,7 +456,7 @@ def complete_window(
             F.count(F.lit(1)).alias("n"),
         )
         wanted = cut(wanted)
-        extra = retrieval.rank_cards(pool, wanted.select("question_id", "question"), budget)
+        extra = retrieval.search_index(index, wanted.select("question_id", "question"), budget)
         extra = extra.join(wanted.select("question_id", "n"), "question_id").where(
             F.col("rank") <= F.col("n")
         ).drop("n")

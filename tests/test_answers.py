@@ -294,3 +294,15 @@ def test_steps_of_an_answer_store_no_contents(spark, monkeypatch):
     found = answer.answer(chunks, groups, triplets, expected)
     assert stored and not any({"content", "entities", "relations"} & set(columns) for columns in stored)
     assert found["chunks"].count() == chunks.count() > 0 and "content_truncated" in found["chunks"].columns
+
+
+def test_the_pool_of_all_rounds_is_indexed_once(spark, monkeypatch):
+    from repograph.plans import fixtures
+
+    source, built = "/root/testdata/sf0.001", []
+    cards = fixtures.linked_cards(spark, source).where("doc_no < 40")
+    chunks = fixtures.block_chunks(spark, source).where("doc_no IN (3, 9)").withColumn("question_id", F.lit("q"))
+    real = retrieval.build_index
+    monkeypatch.setattr(retrieval, "build_index", lambda *a: (built.append(1), real(*a))[1])
+    found = answer.complete_window(chunks, cards, answer.card_relations(cards), rounds=2)
+    assert len(built) == 1 and found.count() > 2
