@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from repograph.operators import cards, diff, evolution, projection
-from repograph.plans import catalog, catalog_evolution, fixtures
+from repograph.plans import catalog, catalog_evolution, catalog_graph, fixtures
 from repograph.session import run_folder
 
 
@@ -124,3 +124,40 @@ def test_relations_carry_the_ends_that_their_nodes_have_and_contexts_join_no_nod
     assert joined.columns == read.columns and sorted(joined.collect(), key=repr) == sorted(read.collect(), key=repr)
     plan = catalog_evolution.relation_contexts(spark, source)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def odd_graph(spark):
+    """Ends that are groups themselves, lie in no group, or share a path; evidence of several edges."""
+
+    named = [("root", "REPOSITORY", "."), ("A", "PACKAGE", "a"), ("B", "PACKAGE", "a/b"), ("X", "FILE", "a/x.py"),
+             ("Y", "FILE", "a/b/y.py"), ("Y2", "FILE", "a/b/y.py"), ("T", "FILE", "top.py"), ("x1", "FUNCTION", "a/x.py"),
+             ("x2", "FUNCTION", "a/x.py"), ("y1", "FUNCTION", "a/b/y.py"), ("z1", "FUNCTION", "a/c/z.py"),
+             ("t1", "FUNCTION", "top.py")]
+    keys = "repository_id string, revision_id string"
+    nodes = spark.createDataFrame(
+        [("r", v, i, k, p, i, f"l:{i}", None) for v in "12" for i, k, p in named],
+        f"{keys}, id string, kind string, path string, qualified_name string, logical_id string, span struct<start_line: int>")
+    pairs = [(a, b) for a in "A B X Y x1 x2 y1 z1 t1 root".split() for b in "A B X Y2 x2 y1 z1 T t1".split()]
+    rows = [("r", v, f"e{n}", a, "CALLS" if n % 3 else "IMPORTS", b, "exact" if n % 7 else "inferred",
+             [(f"p{n % 5}",), (f"p{n}",)][:n % 4] if n % 9 else None) for v in "12" for n, (a, b) in enumerate(pairs)]
+    rows.append(("r", "1", "gone", "x1", "CALLS", "nobody", "exact", []))
+    edges = spark.createDataFrame(
+        rows, f"{keys}, id string, source_id string, predicate string, target_id string, quality string, "
+        "evidence array<struct<id: string>>")
+    return nodes, edges
+
+
+def test_rollups_by_path_are_those_by_id(spark):
+    nodes, edges = odd_graph(spark)
+    placed = projection.with_ends(nodes, edges)
+    rows = lambda table: sorted(table.collect(), key=repr)
+    for depth in ("packages", "files"):
+        seen = projection.visible_nodes(nodes, depth, 2)
+        for visible in (None, seen):
+            by_id = projection.rollup_edges(nodes, edges, depth, visible)
+            by_path = projection.rollup_edges(nodes, placed, depth, visible)
+            assert rows(by_id) == rows(by_path) != []
+        assert rows(projection.rollup_members(nodes, edges, depth)) == rows(projection.rollup_members(nodes, placed, depth))
+    query = catalog_graph.rollup_files(spark, "/root/testdata/sf0.001")
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4 and "sha2(concat_ws(:, evidence" not in plan
