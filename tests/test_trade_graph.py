@@ -161,3 +161,22 @@ def test_rollups_by_path_are_those_by_id(spark):
     query = catalog_graph.rollup_files(spark, "/root/testdata/sf0.001")
     plan = query._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 4 and "sha2(concat_ws(:, evidence" not in plan
+
+
+def test_evidence_of_several_relations_counts_once_and_members_are_read_once(spark):
+    nodes, edges = odd_graph(spark)
+    placed = projection.with_ends(nodes, edges)
+    for depth in ("packages", "files"):
+        members, want = {}, {}
+        for r in projection.rollup_members(nodes, edges, depth).collect():
+            found = members.setdefault((r.revision_id, r.id), (set(), set()))
+            found[0].add(r.edge_id)
+            found[1].update([r.evidence_id] if r.evidence_id else [])
+        want = {key: (len(e), len(p)) for key, (e, p) in members.items()}
+        for table in (edges, placed):
+            got = projection.rollup_evidence_counts(nodes, table, depth)
+            assert {(r.revision_id, r.id): (r.relation_count, r.evidence_count) for r in got.collect()} == want
+        assert any(p < e for e, p in want.values())
+    counts = catalog_graph.rollup_evidence_counts(spark, "/root/testdata/sf0.001")
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.count("numbers#") and plan.count("Relation [o_orderkey") == 1
