@@ -125,3 +125,42 @@ def test_samples_have_one_row_of_an_id(spark, monkeypatch):
     language.learn(docs)
     quality.learn(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
     assert seen == [learnt, learnt]
+
+
+def test_quality_learns_from_every_labelled_text_in_lots(spark, monkeypatch):
+    docs, labels = quality_corpus()
+    texts = spark.createDataFrame(docs, "doc_id long, text string, score int")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, text int")
+    learnt = {r.doc_id for r in marks.where(~held_out(F.col("doc_id"))).select("doc_id").collect()}
+    monkeypatch.setattr(quality, "LOT", 40)
+    monkeypatch.setattr(quality, "LEAST", 15)
+    dealt = []
+    deal = quality.spread
+    monkeypatch.setattr(quality, "spread", lambda rows, *keys: (dealt.append(rows.collect()), deal(rows, *keys))[1])
+    # No class may be cut to a number.
+    model = quality.learn(texts, marks)
+    assert {bytes(r.x) for r in dealt[0] if r.label == 1}.__len__() + {bytes(r.x) for r in dealt[0] if r.label == 0}.__len__() \
+        == len({(q, t) for (d, q, _) in labels if d in learnt for (i, t, _) in [docs[d]]})
+    lots = {lot: {r.label for r in dealt[0] if r.lot == lot} for lot in {r.lot for r in dealt[0]}}
+    assert len(lots) == -(-len(learnt) // 40) and all(seen == {0, 1} for seen in lots.values())
+    x = quality.features(*quality.arrays.column_bytes(quality.pa.array([docs[d][1] for d, _, _ in labels if d in learnt])))
+    raw = x.astype(np.float64) @ model.weights
+    good = np.array([q == 1 for d, q, _ in labels if d in learnt])
+    at = np.sort(raw)[(~good).sum() - 1:][:2]
+    assert abs(model.threshold - at.mean()) < 1e-6
+    rows = quality.score(texts, model).collect()
+    label = {d: q for d, q, _ in labels}
+    out = [r for r in rows if r.doc_id in label and r.doc_id not in learnt]
+    assert len(out) > 20 and sum(r.predicted == label[r.doc_id] for r in out) >= 0.9 * len(out)
+    again = quality.learn(texts.repartition(5), marks.repartition(3))
+    assert (again.weights == model.weights).all() and (again.threshold, again.slope) == (model.threshold, model.slope)
+
+
+def test_a_rare_class_is_given_to_all_lots(spark, monkeypatch):
+    docs, labels = quality_corpus()
+    bad = [d for d, q, _ in labels if not q]
+    few = [row for row in labels if row[1]] + [(d, 0, 0) for d in bad[:6]]
+    monkeypatch.setattr(quality, "LOT", 30)
+    rows = scores(spark, docs, few)
+    assert len(rows) == 300 and len({r.score for r in rows}) > 100
+    assert {r.score for r in scores(spark, docs, [row for row in labels if row[1]])} == {1.0}
