@@ -77,3 +77,22 @@ def test_first_files_are_found_for_some_of_many_nodes(spark):
         "repository_id string, before_nodes array<string>, after_nodes array<string>, path string")
     found = evolution.with_paths(keys, nodes, nodes).select("path").collect()
     assert sorted(r.path for r in found) == ["own", "p3", "p4"]
+
+
+def test_pages_are_numbered_where_they_met_their_event(spark):
+    none = "CAST(array() AS array<string>)"
+    lists = ", ".join(f"{none} AS {name}" for name in (
+        "before_nodes", "after_nodes", "before_relations", "after_relations", "changed_fields", "matched_signals"))
+    facts = spark.createDataFrame([("r", "f2"), ("r", "f1"), ("q", "f3")], "repository_id string, fact_id string").selectExpr(
+        "*", "'b' AS before_revision_id", "'a' AS after_revision_id", "'node_added' AS kind", "'exact' AS quality",
+        "'x' AS explanation", "CAST(NULL AS double) AS confidence", *lists.split(", CAST")[:1],
+        *[f"CAST{part}" for part in lists.split(", CAST")[1:]])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cards = evolution.change_cards(evolution.change_events(facts), facts).select("node_id", "page_index", "page_count")
+        plan = cards._jdf.queryExecution().executedPlan().toString()
+        found = {tuple(r) for r in cards.where("page_index > 0").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(event_id" not in plan
+    assert found == {("f1", 1, 2), ("f2", 2, 2), ("f3", 1, 1)}
